@@ -8,10 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isotrend.session import settle
+
 # A lookup is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
 # A key is hot when it may hold more than this share of the rows; at most 1/share keys are.
 HOT_SHARE = 0.001
+# Input below this size needs no care for hot keys.
+SMALL_BYTES = 256 * 1024 * 1024
 
 
 def _as_pairs(on: str | Sequence[str] | Mapping[str, str]) -> list[tuple[str, str]]:
@@ -35,11 +39,16 @@ def left_join(df: DataFrame, other: DataFrame, on: str | Sequence[str] | Mapping
     return joined.drop(*[f"__right_{right}" for _, right in pairs])
 
 
-def _estimated_small(df: DataFrame) -> bool:
-    """Whether Catalyst's own size estimate already lets it broadcast ``df``."""
+def _small_join(df: DataFrame, lookup: DataFrame) -> bool:
+    """Whether Catalyst will broadcast the lookup by itself, or all input of ``df`` is small.
+
+    The input is measured at the leaves of the plan: estimates above a join are products.
+    """
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return 0 <= size <= limit
+    if int(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit:
+        return True
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) <= SMALL_BYTES
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
@@ -52,28 +61,31 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Da
     return sketch.select(F.explode("key_freqItems").alias("key")).select("key.*")
 
 
-def attach(df: DataFrame, lookup: DataFrame, keys: str | Sequence[str],
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(df: DataFrame, lookup: DataFrame, keys: str | Sequence[str], null_safe: bool = True,
+           reduced: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add the columns of a one-row-per-key ``lookup`` to every row of a large ``df``.
 
-    1. Catalyst estimates the lookup below its broadcast threshold: a plain left join.
-    2. The lookup, computed once and counted, has at most ``broadcast_rows`` rows: broadcast.
+    1. Catalyst estimates the lookup below its broadcast threshold, or the files behind
+       ``df`` are too small for skew to matter: a plain left join.
+    2. A ``reduced`` lookup, the result of an aggregation, is often far smaller than any
+       estimate. It is computed once, written to the checkpoint folder and counted: up to
+       ``broadcast_rows`` rows it is broadcast.
     3. Otherwise rows of hot keys meet the lookup rows of those keys by broadcast and never
        shuffle; all other rows take the shuffled join, where no key is large any more.
 
     All three return the same rows.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if _estimated_small(lookup):
-        return left_join(df, lookup, keys)
-    kept = lookup.persist()
-    if kept.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return left_join(df, F.broadcast(kept), keys)
-    kept.unpersist()
+    if _small_join(df, lookup):
+        return left_join(df, lookup, keys, null_safe)
+    if reduced:
+        lookup = settle(lookup)
+        if lookup.count() <= broadcast_rows:
+            return left_join(df, F.broadcast(lookup), keys, null_safe)
     hot = F.broadcast(hot_keys(df, keys))
     hot_lookup = F.broadcast(left_join(lookup, hot, keys, how="left_semi"))
-    warm = left_join(left_join(df, hot, keys, how="left_semi"), hot_lookup, keys)
-    cold = left_join(left_join(df, hot, keys, how="left_anti"), lookup, keys)
+    warm = left_join(left_join(df, hot, keys, how="left_semi"), hot_lookup, keys, null_safe)
+    cold = left_join(left_join(df, hot, keys, how="left_anti"), lookup, keys, null_safe)
     return warm.unionByName(cold)
 
 

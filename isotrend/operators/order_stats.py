@@ -3,108 +3,101 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotrend.operators.joins import attach
+from isotrend.operators.joins import attach, left_join
+from isotrend.session import settle
 
 # Entries of the quantile sketch, whose rank error is at most rows / ACCURACY, and the
 # half-width of a bracket as a share of the rows: four times that error.
-ACCURACY = 20_000
-HALF_WIDTH = 2e-4
+ACCURACY = 10_000
+HALF_WIDTH = 4e-4
 # Up to this many rows a group is ranked as it is.
-RANKED_ROWS = 20_000
-GRID = 1000
+RANKED_ROWS = 10_000
+# Cells that the distinct values of one bracket are counted into before any are ranked.
+CELLS = 256
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
                     names: Sequence[str] | None = None) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group, exact at any size.
 
-    A bounded sketch brackets each wanted rank between two values; one pass counts the rows
-    below each bracket, another keeps the rows inside it. Two such rounds leave about three
-    rows in a million, reduced to distinct values with their counts, and only those are
-    ranked. The brackets follow ranks, so no shape of distribution defeats them.
+    Two passes over the rows, run when this is called. The first builds a bounded sketch that brackets each wanted
+    rank between two values. The second counts the rows below each bracket and keeps the
+    distinct values inside one, with their counts: under a thousandth of a large group.
+    Those are counted into cells of equal numbers of values, and only the cell that holds
+    the rank is put in order. The brackets and cells follow ranks, so no shape of
+    distribution and no number of ties defeats them.
     """
     keys = list(keys) or ["__all"]
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     base = df if keys != ["__all"] else df.withColumn("__all", F.lit(0))
-    rows = base.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-
-    slots = [*keys, "which"]
-    brackets = _first_brackets(rows, probs, keys)
-    inside = _explode_inside(rows, brackets, keys)
-    state = _restate(rows, brackets, keys, len(probs))
-    inside, state = _narrow(inside, state, slots)
-
-    counts = inside.groupBy(*slots, "__v").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(*slots).orderBy("__v")
-    ranked = counts.withColumns({
-        "after": F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "next": F.lead("__v").over(order)})
-    here = (F.col("after") > F.col("rank")) & (F.col("after") - F.col("c") <= F.col("rank"))
-    upper = F.when(F.col("rank") + 1 < F.col("after"), F.col("__v")).otherwise(F.coalesce("next", "__v"))
-    found = ranked.join(state, slots).filter(here).select(
-        *slots, (F.col("__v") + F.col("weight") * (upper - F.col("__v"))).alias("q"))
-    cells = [F.max(F.when(F.col("which") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
-    kept = [k for k in keys if k != "__all"]
-    return found.groupBy(*keys).agg(*cells).select(*kept, *names)
-
-
-def _first_brackets(rows: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFrame:
+    rows = base.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+
+    brackets = settle(_brackets(rows, probs, keys))
+    marked = attach(rows, brackets, keys)
+    slots = [F.col("brackets")[i] for i in range(len(probs))]
+    inside = reduce(lambda a, b: a | b, [F.col("v").between(s["low"], s["high"]) for s in slots])
+    below = [F.count_if(F.col("v") < s["low"]).alias(f"b{i}") for i, s in enumerate(slots)]
+    cells = settle(marked.groupBy(*keys, F.when(inside, F.col("v")).alias("v")).agg(
+        F.count(F.lit(1)).alias("c"), *below))
+
+    # One line per group and quantile: its rank among the rows inside its bracket. From here
+    # on tables hold a sliver of the rows, and plain joins serve.
+    skipped = cells.groupBy(*keys).agg(*[F.sum(f"b{i}").alias(f"b{i}") for i in range(len(probs))])
+    totals = left_join(skipped, brackets, keys)
+    lines = [F.struct(F.lit(i).alias("which"), (s["rank"] - F.col(f"b{i}")).alias("rank"),
+                      s["weight"].alias("weight"), s["low"].alias("low"), s["high"].alias("high"))
+             for i, s in enumerate(slots)]
+    wanted = totals.select(*keys, F.array(*lines).alias("lines"))
+    spread = left_join(cells.select(*keys, "v", "c").filter(F.col("v").isNotNull()), wanted, keys) \
+        .select(*keys, "v", "c", F.explode("lines").alias("line")) \
+        .filter(F.col("v").between(F.col("line.low"), F.col("line.high"))) \
+        .select(*keys, "line.which", "v", "c", "line.rank", "line.weight")
+
+    found = _at_rank(spread, [*keys, "which"])
+    q = [F.max(F.when(F.col("which") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
+    return found.groupBy(*keys).agg(*q).select(*[k for k in keys if k != "__all"], *names)
+
+
+def _brackets(rows: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFrame:
     """Per group an array with the rank, interpolation weight and bracket of each quantile."""
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-HALF_WIDTH, HALF_WIDTH)]
     sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                     F.percentile_approx("__v", edges, ACCURACY).alias("cuts"))
+                                     F.percentile_approx("v", edges, ACCURACY).alias("cuts"))
     whole = F.col("n") <= RANKED_ROWS
 
     def bracket(i: int, p: float) -> Column:
         at = (F.col("n") - 1) * F.lit(float(p))
-        low = F.lit(float("-inf")) if p <= HALF_WIDTH else \
-            F.when(whole, F.lit(float("-inf"))).otherwise(F.get("cuts", F.lit(2 * i)))
-        high = F.lit(float("inf")) if p >= 1 - HALF_WIDTH else \
-            F.when(whole, F.lit(float("inf"))).otherwise(F.get("cuts", F.lit(2 * i + 1)))
-        return F.struct(F.lit(i).alias("which"), F.floor(at).alias("rank"),
-                        (at - F.floor(at)).alias("weight"), low.alias("low"), high.alias("high"))
+        low = F.when(whole | F.lit(p <= HALF_WIDTH), F.lit(float("-inf"))).otherwise(F.get("cuts", F.lit(2 * i)))
+        high = F.when(whole | F.lit(p >= 1 - HALF_WIDTH), F.lit(float("inf"))) \
+                .otherwise(F.get("cuts", F.lit(2 * i + 1)))
+        return F.struct(F.floor(at).alias("rank"), (at - F.floor(at)).alias("weight"),
+                        low.alias("low"), high.alias("high"))
 
     return sketch.select(*keys, F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("brackets"))
 
 
-def _explode_inside(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows inside a bracket, once for each bracket that holds them."""
-    def holds(b: Column) -> Column:
-        return (F.col("__v") >= b["low"]) & (F.col("__v") <= b["high"])
-
-    marked = attach(rows, brackets, keys)
-    return marked.select(*keys, "__v", F.explode(F.filter("brackets", holds)["which"]).alias("which"))
-
-
-def _restate(rows: DataFrame, brackets: DataFrame, keys: list[str], wanted: int) -> DataFrame:
-    """One line per group and quantile, with the rank counted among the rows inside its bracket."""
-    below = [F.count_if(F.col("__v") < F.col("brackets")[i]["low"]).alias(f"b{i}") for i in range(wanted)]
-    skipped = attach(rows, brackets, keys).groupBy(*keys).agg(F.first("brackets").alias("brackets"), *below)
-    lines = [F.struct(F.lit(i).alias("which"),
-                      (F.col("brackets")[i]["rank"] - F.col(f"b{i}")).alias("rank"),
-                      F.col("brackets")[i]["weight"].alias("weight")) for i in range(wanted)]
-    return skipped.select(*keys, F.inline(F.array(*lines)))
-
-
-def _narrow(inside: DataFrame, state: DataFrame, slots: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One more round: shrink each bracket around its rank and restate the rank inside it."""
-    sketch = inside.groupBy(*slots).agg(
-        F.count(F.lit(1)).alias("m"),
-        F.percentile_approx("__v", [i / GRID for i in range(GRID + 1)], ACCURACY).alias("cuts"))
-    small = F.col("m") <= RANKED_ROWS
-    first = F.floor(F.col("rank") * GRID / F.col("m")).cast("int") - 2
-    last = F.ceil((F.col("rank") + 2) * GRID / F.col("m")).cast("int") + 2
-    bounds = state.join(sketch, slots).select(
-        *slots, "rank", "weight",
-        F.when(small | (first <= 0), F.lit(float("-inf"))).otherwise(F.get("cuts", first)).alias("low"),
-        F.when(small | (last >= GRID), F.lit(float("inf"))).otherwise(F.get("cuts", last)).alias("high"))
-    marked = attach(inside, bounds, slots)
-    below = marked.groupBy(*slots).agg(F.count_if(F.col("__v") < F.col("low")).alias("skipped"),
-                                       F.first("rank").alias("rank"), F.first("weight").alias("weight"))
-    restated = below.select(*slots, (F.col("rank") - F.col("skipped")).alias("rank"), "weight")
-    kept = marked.filter(F.col("__v").between(F.col("low"), F.col("high"))).select(*slots, "__v")
-    return kept, restated
+def _at_rank(spread: DataFrame, slots: list[str]) -> DataFrame:
+    """The interpolated value at ``rank`` of each slot, from distinct values ``v`` with counts ``c``."""
+    shares = ", ".join(f"{i / CELLS}D" for i in range(1, CELLS))
+    cuts = spread.groupBy(*slots).agg(F.expr(f"percentile_approx(v, array({shares}), {ACCURACY})").alias("cuts"))
+    celled = left_join(spread, cuts, slots).withColumn(
+        "cell", F.size(F.filter("cuts", lambda edge: edge < F.col("v")))).drop("cuts")
+    histogram = celled.groupBy(*slots, "cell").agg(F.sum("c").alias("c"), F.min("v").alias("first"),
+                                                   F.first("rank").alias("rank"))
+    by_cell = Window.partitionBy(*slots).orderBy("cell")
+    upto = F.sum("c").over(by_cell.rowsBetween(Window.unboundedPreceding, 0))
+    here = histogram.withColumns({"upto": upto, "next_first": F.lead("first").over(by_cell)}) \
+        .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank"))) \
+        .select(*slots, F.col("cell").alias("spot"), (F.col("upto") - F.col("c")).alias("before"), "next_first")
+    few = left_join(celled, here, slots).filter(F.col("cell") == F.col("spot"))
+    by_value = Window.partitionBy(*slots).orderBy("v")
+    after = F.col("before") + F.sum("c").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = few.withColumns({"after": after, "next": F.lead("v").over(by_value)})
+    hit = ranked.filter((F.col("after") > F.col("rank")) & (F.col("after") - F.col("c") <= F.col("rank")))
+    upper = F.when(F.col("rank") + 1 < F.col("after"), F.col("v")).otherwise(F.coalesce("next", "next_first", "v"))
+    return hit.select(*slots, (F.col("v") + F.col("weight") * (upper - F.col("v"))).alias("q"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotrend.operators.joins import attach
+from isotrend.session import settle
 
 POWERS = range(5)
 # Cells of the distance histogram of one grid place.
@@ -31,7 +32,7 @@ def loess_curve(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), span: f
     ends = [F.min("__x").alias("low"), F.max("__x").alias("high"), F.sum("__c").alias("total")]
     # Keys, or one literal key, so that a single curve goes the same way as many.
     slots = keys or ["__all"]
-    merged = merged if keys else merged.withColumn("__all", F.lit(0))
+    merged = settle(merged if keys else merged.withColumn("__all", F.lit(0)))
     ranged = attach(merged, merged.groupBy(*slots).agg(*ends), slots)
     width = F.col("high") - F.col("low")
     placed = ranged.select(*slots, "__x", "__y", "__c", "low", "total", width.alias("width"),

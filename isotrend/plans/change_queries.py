@@ -176,7 +176,7 @@ def climatology_anomaly_by_entity(spark: SparkSession, folder: str) -> DataFrame
                                                        F.col("c_mktsegment").alias("segment"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
                                                    month_of().alias("month"), year_of().alias("year"))
-    rows = change.climatology_anomaly(attach(orders, segments, "o_custkey"), "month", "year", "o_totalprice",
+    rows = change.climatology_anomaly(attach(orders, segments, "o_custkey", reduced=False), "month", "year", "o_totalprice",
                                       (1995, 1997), ["segment"])
     return rounded(rows.select("o_orderkey", "segment", "month", "anomaly"), ["anomaly"])
 

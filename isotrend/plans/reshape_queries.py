@@ -59,12 +59,12 @@ def sign_label(spark: SparkSession, folder: str) -> DataFrame:
         values.sign_label(partly).alias("change_color"))
 
 
-@register("signif_digits", """WITH v AS (SELECT c_custkey, c_acctbal / 7 AS v FROM customer)
+@register("signif_digits", """WITH v AS (SELECT c_custkey, sqrt(abs(c_acctbal) + 1) AS v FROM customer)
 SELECT c_custkey, CASE WHEN v = 0 THEN 0 ELSE
- round(round(v / pow(10, floor(log10(abs(v))) - 2), 0) * pow(10, floor(log10(abs(v))) - 2), 9) END AS three_digits FROM v""")
+ round(round_even(v / pow(10, floor(log10(abs(v))) - 2), 0) * pow(10, floor(log10(abs(v))) - 2), 9) END AS three_digits FROM v""")
 def signif_digits(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(
-        "c_custkey", F.round(values.signif(F.col("c_acctbal") / 7, 3), 9).alias("three_digits"))
+        "c_custkey", F.round(values.signif(F.sqrt(F.abs("c_acctbal") + 1), 3), 9).alias("three_digits"))
 
 
 @register("round_measures", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice / 3, 2) AS third,

@@ -25,12 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def nation_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with the nation of their customer: the analogue of readings by area and date."""
-    nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"),
-                                                   F.col("n_name").alias("nation"))
     customer = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    lookup = left_join(customer, nation, "c_nationkey").drop("c_nationkey")
+    nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
     orders = table(spark, folder, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
-    return attach(orders, lookup, "o_custkey").drop("o_custkey")
+    keyed = attach(orders, customer, "o_custkey", null_safe=False, reduced=False)
+    return left_join(keyed, nation, {"c_nationkey": "n_nationkey"}, null_safe=False).drop("o_custkey", "c_nationkey")
 
 
 def year_of(column: str = "o_orderdate") -> Column:

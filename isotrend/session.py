@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution is what sizes shuffles at run time; the advisory size keeps
 # every reduce task near 128 MB however large the table is.
@@ -42,3 +42,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="isotrend-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def use_checkpoint_dir(spark: SparkSession) -> None:
+    """Keep the checkpoint folder the cluster names; set one only where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch_path(spark, "checkpoints"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a reduced table once, in the shared folder, and go on from there.
+
+    For tables that later steps use several times: without it every use repeats the scan
+    behind it. A lost executor costs nothing, since the files outlive it.
+    """
+    use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
