@@ -29,28 +29,33 @@ def pair_moments(df: DataFrame, x: Column | str, y: Column | str, keys: Sequence
     return df.groupBy(*keys).agg(*pair_columns(x, y))
 
 
-def merge_pair_moments(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merge moments of disjoint parts into those of the whole group, exactly.
+def add_merged_total(parts: DataFrame, keys: Sequence[str], part: str, label: str) -> DataFrame:
+    """Beside the moments of each part of a group, those of the whole group, merged exactly.
 
-    Deviations between the part means are added to the deviations within the parts, so the
-    total costs a step over a few rows per group in place of a second pass over the data.
+    Deviations between the part means are added to the deviations within the parts. The
+    parts are few per group (months), so the total costs a step over a handful of rows in
+    place of a second pass over the data, and the plan keeps one scan and no self-join.
     """
     whole = Window.partitionBy(*keys)
     n = F.sum("n").over(whole)
-    shifted = parts.withColumns({
-        "__dx": F.col("mean_x") - F.try_divide(F.sum(F.col("n") * F.col("mean_x")).over(whole), n),
-        "__dy": F.col("mean_y") - F.try_divide(F.sum(F.col("n") * F.col("mean_y")).over(whole), n),
-    })
+    centred = parts.withColumns({
+        "__n": n,
+        "__mx": F.try_divide(F.sum(F.col("n") * F.col("mean_x")).over(whole), n),
+        "__my": F.try_divide(F.sum(F.col("n") * F.col("mean_y")).over(whole), n),
+        "__first": F.row_number().over(whole.orderBy(part)) == 1,
+    }).withColumns({"__dx": F.col("mean_x") - F.col("__mx"), "__dy": F.col("mean_y") - F.col("__my")})
 
     def total(within: str, a: str, b: str) -> Column:
-        return F.sum(F.coalesce(F.col(within), F.lit(0.0))
-                     + F.coalesce(F.col("n") * F.col(a) * F.col(b), F.lit(0.0))).alias(within)
-
-    return shifted.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.try_divide(F.sum(F.col("n") * F.col("mean_x")), F.sum("n")).alias("mean_x"),
-        F.try_divide(F.sum(F.col("n") * F.col("mean_y")), F.sum("n")).alias("mean_y"),
-        total("sxx", "__dx", "__dx"), total("syy", "__dy", "__dy"), total("sxy", "__dx", "__dy"))
+        between = F.coalesce(F.col("n") * F.col(a) * F.col(b), F.lit(0.0))
+        return F.sum(F.coalesce(F.col(within), F.lit(0.0)) + between).over(whole)
+
+    summed = centred.withColumns({"__sxx": total("sxx", "__dx", "__dx"), "__syy": total("syy", "__dy", "__dy"),
+                                  "__sxy": total("sxy", "__dx", "__dy")})
+    own = F.struct(part, *PAIR)
+    merged = F.struct(F.lit(label).alias(part), *[F.col(c).alias(name) for c, name in
+                                                  zip(("__n", "__mx", "__my", "__sxx", "__syy", "__sxy"), PAIR)])
+    rows = F.when(F.col("__first"), F.array(own, merged)).otherwise(F.array(own))
+    return summed.select(*keys, F.explode(rows).alias("row")).select(*keys, "row.*")
 
 
 def moment_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from isotrend.functions.calendar import ALL_MONTHS, MONTHS, level_index
 from isotrend.functions.distributions import f_upper_p, t_quantile_975, t_two_sided_p
 from isotrend.functions.values import as_col, recode
 from isotrend.operators.joins import area_attributes, attach
-from isotrend.operators.moments import merge_pair_moments, pair_columns, pair_moments
+from isotrend.operators.moments import add_merged_total, pair_columns, pair_moments
 from isotrend.operators.order_stats import exact_quantiles
 
 SIGNIFICANT = 0.05
@@ -103,9 +103,8 @@ def trend_test(df: DataFrame, entity: str | Sequence[str], month: Column | str,
     if exclude_years:
         rows = rows.filter(~F.col("__year").isin(*exclude_years))
     monthly = pair_moments(rows, "__year", "__value", [*keys, "month"])
-    whole = merge_pair_moments(monthly, keys).withColumn("month", F.lit(ALL_MONTHS))
-    models = monthly.filter(F.col("month").isNotNull()).unionByName(whole)
-    return fit_columns(models.filter(F.col("n") > 1))
+    models = add_merged_total(monthly, keys, "month", ALL_MONTHS)
+    return fit_columns(models.filter(F.col("month").isNotNull() & (F.col("n") > 1)))
 
 
 def _summary(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
