@@ -44,14 +44,14 @@ YEARLY = f"""WITH {NATION_ORDERS},
 
 
 @register("entity_year_mean", f"""{YEARLY}
-SELECT nation, year, round(value, 4) AS value FROM yearly WHERE year >= 1996""")
+SELECT nation, year, round(value, 6) AS value FROM yearly WHERE year >= 1996""")
 def entity_year_mean(spark: SparkSession, folder: str) -> DataFrame:
     orders = nation_orders(spark, folder)
     return rounded(change.entity_year_mean(orders, "nation", year_of(), "o_totalprice", since=1996), ["value"])
 
 
 @register("entity_series", f"""WITH {NATION_ORDERS}
-SELECT yr AS year, round(avg(o_totalprice), 4) AS value FROM nation_orders
+SELECT yr AS year, round(avg(o_totalprice), 6) AS value FROM nation_orders
 WHERE nation = 'NATION_7' AND mon = 3 AND yr <> {PARTIAL_YEAR} GROUP BY yr ORDER BY yr""")
 def entity_series(spark: SparkSession, folder: str) -> DataFrame:
     orders = nation_orders(spark, folder)
@@ -73,7 +73,7 @@ def _period_sql(month: str) -> str:
  SELECT nation, avg(CASE WHEN yr = 1996 THEN o_totalprice END) AS baseline,
         avg(CASE WHEN yr = 1999 THEN o_totalprice END) AS value
  FROM nation_orders WHERE yr IN (1996, 1999) {month} GROUP BY nation)
-SELECT nation, round(baseline, 4) AS baseline, round(value, 4) AS value, round(value - baseline, 4) AS diff,
+SELECT nation, round(baseline, 6) AS baseline, round(value, 6) AS value, round(value - baseline, 6) AS diff,
  {case_bins('(value - baseline)', PRICE_BREAKS, PRICE_LABELS, False)} AS category
 FROM means WHERE value - baseline IS NOT NULL"""
 
@@ -94,8 +94,8 @@ def period_change_month(spark: SparkSession, folder: str) -> DataFrame:
     return _period(spark, folder, 10)
 
 
-_FRAME_COLUMNS = f"""nation, year, round(value, 4) AS value, round(reference, 4) AS reference,
- round(value - reference, 4) AS diff, {case_bins('(value - reference)', CHANGE_BREAKS, CHANGE_LABELS, True)} AS category,
+_FRAME_COLUMNS = f"""nation, year, round(value, 6) AS value, round(reference, 6) AS reference,
+ round(value - reference, 6) AS diff, {case_bins('(value - reference)', CHANGE_BREAKS, CHANGE_LABELS, True)} AS category,
  CASE WHEN value - reference >= 0 THEN 'hotter' WHEN value - reference < 0 THEN 'colder' END AS direction"""
 _FRAMES = f"""{YEARLY}, framed AS (
  SELECT y.nation, y.year, y.value, r.value AS reference FROM yearly y
@@ -118,8 +118,8 @@ def change_vs_reference_year(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("year_over_year", f"""{YEARLY}
-SELECT y.nation, y.year, round(y.value, 4) AS value, round(p.value, 4) AS previous,
- round(y.value - p.value, 4) AS diff, {case_bins('(y.value - p.value)', CHANGE_BREAKS, CHANGE_LABELS, True)} AS category
+SELECT y.nation, y.year, round(y.value, 6) AS value, round(p.value, 6) AS previous,
+ round(y.value - p.value, 6) AS diff, {case_bins('(y.value - p.value)', CHANGE_BREAKS, CHANGE_LABELS, True)} AS category
 FROM yearly y LEFT JOIN yearly p ON p.nation = y.nation AND p.year = y.year - 1""")
 def year_over_year(spark: SparkSession, folder: str) -> DataFrame:
     changed = change.year_over_year(nation_orders(spark, folder), "nation", year_of(), "o_totalprice",
@@ -139,8 +139,8 @@ def baseline_anomaly(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("global_baseline_anomaly", """SELECT o_orderkey, o_totalprice,
- round((SELECT avg(o_totalprice) FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997), 4) AS baseline,
- round(o_totalprice - (SELECT avg(o_totalprice) FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997), 4) AS anomaly
+ round((SELECT avg(o_totalprice) FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997), 6) AS baseline,
+ round(o_totalprice - (SELECT avg(o_totalprice) FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997), 6) AS anomaly
 FROM orders""")
 def global_baseline_anomaly(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", year_of().alias("year"))
@@ -152,8 +152,8 @@ def global_baseline_anomaly(spark: SparkSession, folder: str) -> DataFrame:
 @register("climatology_anomaly", """WITH normal AS (
  SELECT CAST(month(o_orderdate) AS INTEGER) AS month, avg(o_totalprice) AS baseline
  FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997 GROUP BY ALL)
-SELECT o_orderkey, o_totalprice, CAST(month(o_orderdate) AS INTEGER) AS month, round(baseline, 4) AS baseline,
- round(o_totalprice - baseline, 4) AS anomaly
+SELECT o_orderkey, o_totalprice, CAST(month(o_orderdate) AS INTEGER) AS month, round(baseline, 6) AS baseline,
+ round(o_totalprice - baseline, 6) AS anomaly
 FROM orders LEFT JOIN normal ON month(o_orderdate) = normal.month""")
 def climatology_anomaly(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", month_of().alias("month"),
@@ -167,7 +167,7 @@ def climatology_anomaly(spark: SparkSession, folder: str) -> DataFrame:
  FROM orders LEFT JOIN customer ON o_custkey = c_custkey), normal AS (
  SELECT segment, month, avg(o_totalprice) AS baseline FROM seg WHERE year(o_orderdate) BETWEEN 1995 AND 1997
  GROUP BY ALL)
-SELECT o_orderkey, s.segment, s.month, round(o_totalprice - baseline, 4) AS anomaly
+SELECT o_orderkey, s.segment, s.month, round(o_totalprice - baseline, 6) AS anomaly
 FROM seg s LEFT JOIN normal n ON s.segment = n.segment AND s.month = n.month""")
 def climatology_anomaly_by_entity(spark: SparkSession, folder: str) -> DataFrame:
     from isotrend.operators.joins import attach
@@ -185,7 +185,7 @@ def climatology_anomaly_by_entity(spark: SparkSession, folder: str) -> DataFrame
  SELECT {MONTH_NAMES}[month(o_orderdate)] AS month, avg(CASE WHEN year(o_orderdate) = 1995 THEN o_totalprice END) AS a,
   avg(CASE WHEN year(o_orderdate) = 2000 THEN o_totalprice END) AS b
  FROM orders WHERE year(o_orderdate) IN (1995, 2000) GROUP BY 1)
-SELECT month, round(a, 4) AS first_value, round(b, 4) AS last_value, round((b - a) / abs(a) * 100, 6) AS percent_change
+SELECT month, round(a, 6) AS first_value, round(b, 6) AS last_value, round((b - a) / abs(a) * 100, 6) AS percent_change
 FROM m""")
 def percent_change(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").withColumn("month", month_name(month_of()))
@@ -215,7 +215,7 @@ def group_extremes_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("year_snapshot", f"""{YEARLY}
-SELECT n_nationkey, n_name, n_regionkey, round(value, 4) AS value, {case_bins('value', (0, 240000, 250000, 260000, 500000),
+SELECT n_nationkey, n_name, n_regionkey, round(value, 6) AS value, {case_bins('value', (0, 240000, 250000, 260000, 500000),
  ('low', 'middle', 'high', 'top'), True)} AS category
 FROM nation LEFT JOIN (SELECT * FROM yearly WHERE year = 1998) y ON n_name = y.nation WHERE n_name <> 'NATION_13'""")
 def year_snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,9 +226,9 @@ def year_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(shown, ["value"])
 
 
-@register("tag_and_stack", """SELECT c_custkey AS id, round(c_acctbal * 1.8, 4) AS balance, c_mktsegment AS segment,
+@register("tag_and_stack", """SELECT c_custkey AS id, round(c_acctbal * 1.8, 6) AS balance, c_mktsegment AS segment,
  'customer' AS source FROM customer
-UNION ALL SELECT s_suppkey, round(s_acctbal, 4), NULL, 'supplier' FROM supplier""")
+UNION ALL SELECT s_suppkey, round(s_acctbal, 6), NULL, 'supplier' FROM supplier""")
 def tag_and_stack(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"),
                                                         F.col("c_acctbal").alias("balance"),

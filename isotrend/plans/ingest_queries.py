@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register("tables_by_file", """SELECT source, CAST(count(*) AS BIGINT) AS n, round(avg(balance), 4) AS balance FROM (
+@register("tables_by_file", """SELECT source, CAST(count(*) AS BIGINT) AS n, round(avg(balance), 6) AS balance FROM (
  SELECT 'customer' AS source, c_acctbal AS balance FROM customer UNION ALL SELECT 'supplier', s_acctbal FROM supplier)
 GROUP BY source""")
 def tables_by_file(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +64,7 @@ def untidy_text_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("csv_round_trip", """WITH y AS (SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS value
  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
-SELECT nation, year, round(value, 4) AS value FROM y""")
+SELECT nation, year, round(value, 6) AS value FROM y""")
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     yearly = entity_year_mean(nation_orders(spark, folder), "nation", year_of(), "o_totalprice")
     numbered = yearly.select(F.xxhash64("nation", "year").alias("row"), "nation", "year", "value")
@@ -74,7 +74,7 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("parquet_by_year", """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS n,
- round(avg(o_totalprice), 4) AS value FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1""")
+ round(avg(o_totalprice), 6) AS value FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1""")
 def parquet_by_year(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").withColumn("year", year_of())
     path = write_table(orders, scratch_path(spark, "by-year"), partition_by=["year"])

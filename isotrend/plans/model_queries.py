@@ -100,7 +100,7 @@ SELECT CAST(n AS BIGINT) AS n, CAST(dfr AS BIGINT) AS df_resid, round(1 - sse /
 def model_tests(spark: SparkSession, folder: str) -> DataFrame:
     models = linear.ols(table(spark, folder, "lineitem"), "l_extendedprice", PREDICTORS)
     shown = linear.model_tests(models).drop("df_model")
-    return rounded(rounded(rounded(shown, ["r2", "adj_r2"], 10), ["sigma"]), ["f", "f_p"], 6)
+    return rounded(rounded(rounded(shown, ["r2", "adj_r2"], 10), ["sigma"], 4), ["f", "f_p"], 6)
 
 
 @register("anova_table", f"""{_OLS}, lines AS (
@@ -123,7 +123,7 @@ _VIF = f"WITH {CHARGED}, {_moments_sql('charged', 'l_tax', MEASURES)}, {_terms_s
 @register("vif", f"{_VIF} SELECT term, round(vif, 4) AS vif FROM terms WHERE position > 0")
 def vif(spark: SparkSession, folder: str) -> DataFrame:
     models = linear.ols(charged(spark, folder), "l_tax", MEASURES)
-    return rounded(linear.vif_table(models).select("term", "vif"), ["vif"])
+    return rounded(linear.vif_table(models).select("term", "vif"), ["vif"], 4)
 
 
 def _pairs_sql(columns: list[str]) -> str:
@@ -143,7 +143,7 @@ SELECT first, second, n, round(r, 8) AS r, round(first_mean, 4) AS first_mean, r
 def corr_table(spark: SparkSession, folder: str) -> DataFrame:
     rows = linear.correlations(charged(spark, folder), MEASURES).drop("df", "t", "p")
     rows = rounded(rows, ["r", "ci_low", "ci_high"], 8)
-    return rounded(rows, ["first_mean", "first_sd", "second_mean", "second_sd"])
+    return rounded(rows, ["first_mean", "first_sd", "second_mean", "second_sd"], 4)
 
 
 @register("corr_test", f"""WITH c AS (SELECT l_returnflag, count(*) AS n, corr(l_quantity, l_extendedprice) AS r
@@ -231,7 +231,7 @@ FROM charged, one""")
 def pca_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = pca.scores(charged(spark, folder).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *MEASURES),
                       MEASURES)
-    return rounded(rows.drop(*MEASURES), ["score_1", "score_2", "score_3"])
+    return rounded(rows.drop(*MEASURES), ["score_1", "score_2", "score_3"], 4)
 
 
 def _pcr_sql(used: int) -> str:

@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None):
  o_orderpriority AS priority FROM orders""")
 def column_choice(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
-    chosen = reshape.drop_positions(orders, 0, 4).select(
+    chosen = reshape.drop_positions(orders, 0, 6).select(
         *reshape.column_range(orders, "o_custkey", "o_totalprice"), "o_orderpriority")
     return chosen.withColumnsRenamed({"o_custkey": "customer", "o_orderstatus": "status",
                                       "o_totalprice": "price", "o_orderpriority": "priority"})
@@ -147,8 +147,8 @@ def recode_levels(spark: SparkSession, folder: str) -> DataFrame:
         values.strip_text("o_orderpriority", "-", "SPECIFIED").alias("stripped"))
 
 
-@register("safe_math", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice / nullif(l_discount, 0), 4) AS ratio,
- round(abs(l_discount - l_tax), 4) AS gap, l_discount IS NULL OR l_discount = 0 AS no_discount FROM lineitem""")
+@register("safe_math", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice / nullif(l_discount, 0), 6) AS ratio,
+ round(abs(l_discount - l_tax), 6) AS gap, l_discount IS NULL OR l_discount = 0 AS no_discount FROM lineitem""")
 def safe_math(spark: SparkSession, folder: str) -> DataFrame:
     ratio = F.try_divide("l_extendedprice", "l_discount")
     lines = table(spark, folder, "lineitem").select(
@@ -172,7 +172,7 @@ def left_join_keys(spark: SparkSession, folder: str) -> DataFrame:
 l AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity) AS quantity, avg(l_discount) AS discount FROM lineitem GROUP BY 1),
 r AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS returned FROM lineitem
  WHERE l_returnflag = 'R' AND year(l_shipdate) >= 1997 GROUP BY 1)
-SELECT o.year, round(price, 4) AS price, quantity, round(discount, 8) AS discount, CAST(returned AS BIGINT) AS returned
+SELECT o.year, round(price, 6) AS price, quantity, round(discount, 8) AS discount, CAST(returned AS BIGINT) AS returned
 FROM o LEFT JOIN l ON o.year = l.year LEFT JOIN r ON o.year = r.year""")
 def driver_join(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
@@ -207,8 +207,8 @@ def strict_mean_left_join(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(means, ["strict", "lenient"], 6)
 
 
-@register("period_baseline", """SELECT round(avg(o_totalprice) FILTER (year(o_orderdate) BETWEEN 1995 AND 1997), 4) AS baseline,
- round(avg(o_totalprice) FILTER (year(o_orderdate) = 2000), 4) AS recent,
+@register("period_baseline", """SELECT round(avg(o_totalprice) FILTER (year(o_orderdate) BETWEEN 1995 AND 1997), 6) AS baseline,
+ round(avg(o_totalprice) FILTER (year(o_orderdate) = 2000), 6) AS recent,
  round(sum(o_totalprice) FILTER (month(o_orderdate) = 1), 2) AS january FROM orders""")
 def period_baseline(spark: SparkSession, folder: str) -> DataFrame:
     january = F.sum(F.when(month_of() == 1, F.col("o_totalprice")))
@@ -230,7 +230,7 @@ def year_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("monthly_totals", f"""WITH {NATION_ORDERS}
-SELECT nation, coalesce({MONTH_NAMES}[mon], 'All Months') AS month, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 4) AS mean
+SELECT nation, coalesce({MONTH_NAMES}[mon], 'All Months') AS month, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 6) AS mean
 FROM nation_orders GROUP BY GROUPING SETS ((nation), (nation, mon))""")
 def monthly_totals(spark: SparkSession, folder: str) -> DataFrame:
     orders = nation_orders(spark, folder).withColumn("month", month_name(month_of()))
@@ -250,7 +250,7 @@ _WIDE = f"""WITH {NATION_ORDERS}, m AS (SELECT nation, yr * 100 + mon AS stamp,
  FROM nation_orders WHERE o_totalprice > 450000 GROUP BY ALL)"""
 
 
-@register("pivot_years", f"""{_WIDE} SELECT nation, {', '.join(f"round(max(CASE WHEN stamp = {y}01 THEN value END), 4) AS v{y}01" for y in YEARS)}
+@register("pivot_years", f"""{_WIDE} SELECT nation, {', '.join(f"round(max(CASE WHEN stamp = {y}01 THEN value END), 6) AS v{y}01" for y in YEARS)}
 FROM m GROUP BY nation""")
 def pivot_years(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_pivoted(spark, folder), [f"v{y}01" for y in YEARS])
@@ -258,7 +258,7 @@ def pivot_years(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("unpivot_keep_nulls", f"""{_WIDE}, years AS (SELECT unnest({[f"v{y}01" for y in YEARS]}) AS name, unnest({[y * 100 + 1 for y in YEARS]}) AS stamp),
 areas AS (SELECT DISTINCT nation FROM m)
-SELECT a.nation, y.name, round(m.value, 4) AS value FROM areas a CROSS JOIN years y
+SELECT a.nation, y.name, round(m.value, 6) AS value FROM areas a CROSS JOIN years y
 LEFT JOIN m ON m.nation = a.nation AND m.stamp = y.stamp""")
 def unpivot_keep_nulls(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(reshape.to_long(_pivoted(spark, folder), ["nation"]), ["value"])

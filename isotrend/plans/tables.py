@@ -40,6 +40,6 @@ def month_of(column: str = "o_orderdate") -> Column:
     return F.month(column)
 
 
-def rounded(df: DataFrame, columns: list[str], places: int = 4) -> DataFrame:
+def rounded(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:
     """Round measures so that two engines print the same digits."""
     return df.withColumns({c: F.round(F.col(c), places) for c in columns})

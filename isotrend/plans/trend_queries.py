@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-_LINE = """ count(*) AS n, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept,
+_LINE = """ count(*) AS n, CASE WHEN regr_sxx({y}, {x}) > 0 THEN regr_slope({y}, {x}) END AS slope, regr_intercept({y}, {x}) AS intercept,
  regr_r2({y}, {x}) AS r2, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy,
  regr_avgx({y}, {x}) AS mean_x"""
 _ERRORS = """sqrt((syy - slope * sxy) / (n - 2)) AS sigma,
@@ -47,7 +47,7 @@ def trend_simple(spark: SparkSession, folder: str) -> DataFrame:
     shown = fit.select("l_returnflag", "n", "slope", "intercept", "r2", "sigma", "slope_se", "slope_t", "slope_p",
                        "intercept_se", "slope_scaled", "adj_r2")
     shown = rounded(shown, ["slope", "slope_se", "slope_t", "slope_p", "intercept_se"], 6)
-    shown = rounded(rounded(shown, ["intercept", "sigma"]), ["slope_scaled"], 8)
+    shown = rounded(rounded(shown, ["intercept", "sigma"], 4), ["slope_scaled"], 8)
     return rounded(shown, ["r2", "adj_r2"], 10)
 
 
@@ -67,7 +67,7 @@ def residual_summary(spark: SparkSession, folder: str) -> DataFrame:
 _TESTS = f"""WITH {NATION_ORDERS}, base AS (SELECT * FROM nation_orders WHERE yr <> {PARTIAL_YEAR}),
 m AS (SELECT nation, coalesce({MONTH_NAMES}[mon], 'All Months') AS month, {_LINE.format(y='o_totalprice', x='yr')}
  FROM base GROUP BY GROUPING SETS ((nation), (nation, mon)) HAVING count(*) > 1),
-e AS (SELECT *, CASE WHEN n > 2 THEN sqrt(greatest(syy - slope * sxy, 0) / (n - 2)) / sqrt(sxx) END AS se FROM m),
+e AS (SELECT *, CASE WHEN n > 2 THEN sqrt(greatest(syy - slope * sxy, 0) / (n - 2)) / sqrt(nullif(sxx, 0)) END AS se FROM m),
 tests AS (SELECT *, slope / nullif(se, 0) AS t, {t_p_value('(slope / nullif(se, 0))', '(n - 2)')} AS p FROM e),
 s AS (SELECT *, slope IS NOT NULL AS fitted, coalesce(p < 0.05, FALSE) AS sig FROM tests)"""
 _COUNTS = """CAST(count(*) FILTER (fitted AND sig) AS BIGINT) AS significant,
@@ -87,7 +87,7 @@ SELECT nation, month, CAST(n AS BIGINT) AS n, round(slope, 4) AS slope, round(se
  round(p, 6) AS slope_p FROM tests""")
 def trend_test(spark: SparkSession, folder: str) -> DataFrame:
     shown = nation_tests(spark, folder).select("nation", "month", "n", "slope", "slope_se", "slope_t", "slope_p")
-    return rounded(rounded(rounded(shown, ["slope", "slope_se"]), ["slope_t"], 5), ["slope_p"], 6)
+    return rounded(rounded(rounded(shown, ["slope", "slope_se"], 4), ["slope_t"], 5), ["slope_p"], 6)
 
 
 @register("significance_by_month", f"{_TESTS} SELECT month, {_COUNTS} FROM s GROUP BY month")

@@ -7,6 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SMALL = "/root/testdata/sf0.001"
+MEDIUM = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -25,6 +26,11 @@ def small():
     return SMALL
 
 
+@pytest.fixture(scope="session")
+def medium():
+    return MEDIUM
+
+
 def final_plan(df):
     """The executed plan as text, without the repeated initial plans."""
     df.collect()

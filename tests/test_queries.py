@@ -7,8 +7,8 @@ from isotrend.plans.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
-def con(small):
-    return connect(small)
+def con(medium):
+    return connect(medium)
 
 
 def test_every_query_has_sql():
@@ -16,8 +16,8 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_sql(spark, con, small, name):
-    rows, problem = compare(spark, con, small, QUERIES[name], ORACLES[name])
+def test_query_matches_sql(spark, con, medium, name):
+    rows, problem = compare(spark, con, medium, QUERIES[name], ORACLES[name])
     assert problem is None
     assert rows > 0
 
