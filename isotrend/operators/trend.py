@@ -20,45 +20,31 @@ CATEGORY_NAMES = {"positive": "Positive Slope Counties", "not_significant": "Not
                   "negative": "Negative Slope Counties"}
 
 
+# The fitted line and its tests, each line using the names before it. A perfect fit leaves
+# dust of the size of the machine precision, which counts as zero.
+FIT = """sxy / CASE WHEN sxx > 0 THEN sxx END AS slope
+mean_y - slope * mean_x AS intercept
+n - 2 AS dof
+CASE WHEN syy - slope * sxy <= syy * 1e-15D THEN 0D ELSE syy - slope * sxy END AS sse
+slope * sxy / nullif(syy, 0D) AS r2
+sqrt(sse / CASE WHEN dof > 0 THEN dof END) AS sigma
+sigma / sqrt(nullif(sxx, 0D)) AS slope_se
+sigma * sqrt(1D / nullif(n, 0) + mean_x * mean_x / nullif(sxx, 0D)) AS intercept_se
+1 - (1 - r2) * (n - 1) / CASE WHEN dof > 0 THEN dof END AS adj_r2
+CASE WHEN slope_se = 0 AND slope <> 0 THEN sign(slope) * double('inf') ELSE slope / nullif(slope_se, 0D) END AS slope_t
+CASE WHEN intercept_se = 0 AND intercept <> 0 THEN sign(intercept) * double('inf')
+ ELSE intercept / nullif(intercept_se, 0D) END AS intercept_t
+slope_t * slope_t AS f"""
+
+
 def fit_columns(moments: DataFrame) -> DataFrame:
     """Add the fitted line and its tests to rows of pair moments.
 
     A constant x has no line: all its figures are NULL. A perfect fit has p = 0, and two
     points have a line but no p-value, since no degree of freedom is left.
     """
-    n = F.col("n")
-    slope = F.try_divide(F.col("sxy"), F.when(F.col("sxx") > 0, F.col("sxx")))
-    line = moments.withColumn("slope", slope).withColumns({
-        "intercept": F.col("mean_y") - F.col("slope") * F.col("mean_x"),
-        "__sse": F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)),
-        "dof": n - 2,
-    })
-    # Rounding leaves dust of the size of the machine precision on an exact line.
-    sse = F.when(F.col("__sse") <= F.col("syy") * 1e-15, F.lit(0.0)).otherwise(F.col("__sse"))
-    spread = line.withColumns({
-        "sse": F.when(F.col("slope").isNotNull(), sse),
-        "r2": F.when(F.col("slope").isNotNull(),
-                     F.try_divide(F.col("slope") * F.col("sxy"), F.nullif(F.col("syy"), F.lit(0.0)))),
-    }).drop("__sse")
-    scale = F.sqrt(F.try_divide(F.col("sse"), F.when(F.col("dof") > 0, F.col("dof"))))
-    errors = spread.withColumn("sigma", scale).withColumns({
-        "slope_se": F.try_divide(F.col("sigma"), F.sqrt("sxx")),
-        "intercept_se": F.col("sigma") * F.sqrt(F.try_divide(F.lit(1.0), n)
-                                                + F.try_divide(F.col("mean_x") * F.col("mean_x"), F.col("sxx"))),
-        "adj_r2": 1.0 - (1.0 - F.col("r2")) * F.try_divide(n - 1, F.when(F.col("dof") > 0, F.col("dof"))),
-    })
-    infinite = F.lit(float("inf"))
-
-    def ratio(estimate: str, error: str) -> Column:
-        exact = F.when(F.col(estimate) != 0, infinite * F.signum(estimate))
-        return F.when(F.col(error) == 0, exact).otherwise(F.try_divide(F.col(estimate), F.col(error)))
-
-    tested = errors.withColumns({"slope_t": ratio("slope", "slope_se"),
-                                 "intercept_t": ratio("intercept", "intercept_se")})
-    return tested.withColumns({
-        "slope_p": t_two_sided_p("slope_t", "dof"),
-        "f": F.col("slope_t") * F.col("slope_t"),
-    })
+    lines = FIT.replace("\n ELSE", " ELSE").split("\n")
+    return moments.selectExpr("*", *lines).withColumn("slope_p", t_two_sided_p("slope_t", "dof"))
 
 
 def trend_fit(df: DataFrame, x: Column | str, y: Column | str, keys: Sequence[str] = ()) -> DataFrame:

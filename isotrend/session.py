@@ -16,6 +16,15 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python call site of every expression doubles the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+# Beyond one machine: enough initial reduce partitions for adaptive execution to merge from,
+# and scan splits that keep the number of tasks on a 100 TB table in the hundreds of thousands.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -24,7 +33,8 @@ def build_session(app: str = "isotrend", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in SETTINGS.items():
+    local = (master or "").startswith("local")
+    for key, value in (SETTINGS if local else {**SETTINGS, **CLUSTER_SETTINGS}).items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
