@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Month names in order and the months of each season.
 MONTHS = ("January", "February", "March", "April", "May", "June",
@@ -76,6 +78,36 @@ def in_period(when: Column | str, year: int, month: int | None = None) -> Column
     return (when >= _day(year, month)) & (when < after)
 
 
+def _is_date(df: DataFrame, name: Column | str) -> bool:
+    return isinstance(name, str) and isinstance(df.schema[name].dataType,
+                                                (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def year_column(df: DataFrame, year: Column | str) -> Column:
+    """The year as a number, from a year column or from a date column."""
+    if _is_date(df, year):
+        return F.year(year)
+    return (F.col(year) if isinstance(year, str) else year).cast("int")
+
+
+def in_years(df: DataFrame, year: Column | str, first: int, last: int | None = None) -> Column:
+    """Whether a row falls between two years; on a date column this is a pushable range."""
+    last = first if last is None else last
+    if _is_date(df, year):
+        return year_between(year, first, last)
+    return year_column(df, year).between(first, last)
+
+
+def not_in_years(df: DataFrame, year: Column | str, years: Sequence[int]) -> Column:
+    """Whether a row falls outside all of the years, in the same pushable form."""
+    keep = F.lit(True)
+    for one in years:
+        outside = (F.col(year) < _day(one, 1)) | (F.col(year) >= _day(one + 1, 1)) if _is_date(df, year) \
+            else year_column(df, year) != one
+        keep = keep & outside
+    return keep
+
+
 def split_year_month(stamp: Column | str) -> tuple[Column, Column]:
     """``YYYYMM`` (number or text) cut after the fourth character into year and month."""
     stamp = F.col(stamp) if isinstance(stamp, str) else stamp

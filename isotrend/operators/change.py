@@ -3,6 +3,9 @@
 Operators that compare years first reduce raw rows to one mean per entity and year. The
 reduction combines map-side, so an entity with a third of all rows shuffles no more than
 any other, and every later window holds at most one row per year.
+
+``year`` is a column of year numbers or the name of a date column. From a date column the
+year filters are ranges that reach the scan.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotrend.functions.calendar import in_period, in_season
+from isotrend.functions.calendar import in_period, in_season, in_years, not_in_years, year_column
 from isotrend.functions.values import (CHANGE_BREAKS, CHANGE_LABELS, PERIOD_BREAKS, PERIOD_LABELS,
                                        bin_label)
 from isotrend.operators.joins import area_attributes, attach, left_join
@@ -25,11 +28,8 @@ def entity_year_mean(df: DataFrame, entity: str | Sequence[str], year: Column |
                      since: int | None = None) -> DataFrame:
     """Mean per entity and year, missing values skipped, optionally from a first year on."""
     keys = [entity] if isinstance(entity, str) else list(entity)
-    when = (F.col(year) if isinstance(year, str) else year).cast("int")
-    yearly = df.withColumn("year", when)
-    if since is not None:
-        yearly = yearly.filter(F.col("year") >= since)
-    return yearly.groupBy(*keys, "year").agg(F.avg(value).alias("value"))
+    rows = df if since is None else df.filter(in_years(df, year, since, 9998))
+    return rows.groupBy(*keys, year_column(df, year).alias("year")).agg(F.avg(value).alias("value"))
 
 
 def entity_series(df: DataFrame, entity: str, name, when: str, value: str,
@@ -39,13 +39,13 @@ def entity_series(df: DataFrame, entity: str, name, when: str, value: str,
     if month is not None:
         rows = rows.filter(F.month(when) == month)
     if drop_year is not None:
-        rows = rows.filter(~in_period(when, drop_year))
+        rows = rows.filter(not_in_years(rows, when, [drop_year]))
     return rows.groupBy(F.year(when).alias("year")).agg(F.avg(value).alias("value")).orderBy("year")
 
 
 def season_slice(df: DataFrame, year: str, month: str, first: int, last: int, season: str) -> DataFrame:
     """Rows of one season between two years; an unknown season gives none."""
-    return df.filter(F.col(year).between(first, last) & in_season(month, season))
+    return df.filter(in_years(df, year, first, last) & in_season(month, season))
 
 
 def baseline_anomaly(df: DataFrame, entity: Sequence[str], year: Column | str, value: str,
@@ -55,12 +55,11 @@ def baseline_anomaly(df: DataFrame, entity: Sequence[str], year: Column | str, v
     The base mean runs over all months of the entity; ``month`` then keeps matching rows.
     Without an entity the mean is one scalar, computed once.
     """
-    when = F.col(year) if isinstance(year, str) else year
-    mean = mean_where(value, when.between(*base)).alias("baseline")
+    past, mean = df.filter(in_years(df, year, *base)), F.avg(value).alias("baseline")
     if entity:
-        rows = attach(df, df.groupBy(*entity).agg(mean), entity)
+        rows = attach(df, past.groupBy(*entity).agg(mean), entity)
     else:
-        rows = df.withColumn("baseline", df.agg(mean).scalar())
+        rows = df.withColumn("baseline", past.agg(mean).scalar())
     if month is not None:
         rows = rows.filter(month)
     return rows.withColumn("anomaly", F.col(value) - F.col("baseline"))
@@ -69,8 +68,7 @@ def baseline_anomaly(df: DataFrame, entity: Sequence[str], year: Column | str, v
 def climatology(df: DataFrame, keys: Sequence[str], year: Column | str, value: str,
                 base: tuple[int, int]) -> DataFrame:
     """Mean per month (and any other key) over the base years."""
-    when = F.col(year) if isinstance(year, str) else year
-    return df.filter(when.between(*base)).groupBy(*keys).agg(F.avg(value).alias("baseline"))
+    return df.filter(in_years(df, year, *base)).groupBy(*keys).agg(F.avg(value).alias("baseline"))
 
 
 def climatology_anomaly(df: DataFrame, month: str, year: Column | str, value: str,
@@ -124,8 +122,7 @@ def change_frames(df: DataFrame, entity: str, year: Column | str, value: str, re
 def change_vs_reference_year(df: DataFrame, entity: str, year: Column | str, value: str, at: int,
                              reference_year: int, bins: Bins = (CHANGE_BREAKS, CHANGE_LABELS)) -> DataFrame:
     """One frame of ``change_frames``: only the two years involved are aggregated."""
-    when = F.col(year) if isinstance(year, str) else year
-    rows = df.filter(when.isin(at, reference_year))
+    rows = df.filter(in_years(df, year, at) | in_years(df, year, reference_year))
     return change_frames(rows, entity, year, value, reference_year, bins).filter(F.col("year") == at)
 
 
@@ -143,10 +140,9 @@ def percent_change(df: DataFrame, keys: str | Sequence[str], year: Column | str,
                    first: int, last: int) -> DataFrame:
     """Mean of two years per group and the change in percent of the first one's size."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    when = F.col(year) if isinstance(year, str) else year
-    means = df.filter(when.isin(first, last)).groupBy(*keys).agg(
-        mean_where(value, when == first).alias("first_value"),
-        mean_where(value, when == last).alias("last_value"))
+    at_first, at_last = in_years(df, year, first), in_years(df, year, last)
+    means = df.filter(at_first | at_last).groupBy(*keys).agg(
+        mean_where(value, at_first).alias("first_value"), mean_where(value, at_last).alias("last_value"))
     change = F.try_divide(F.col("last_value") - F.col("first_value"), F.abs("first_value")) * 100
     return means.withColumn("percent_change", change)
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotrend.functions.calendar import ALL_MONTHS, MONTHS, level_index
+from isotrend.functions.calendar import ALL_MONTHS, MONTHS, level_index, not_in_years, year_column
 from isotrend.functions.distributions import f_upper_p, t_quantile_975, t_two_sided_p
 from isotrend.functions.values import as_col, recode
 from isotrend.operators.joins import area_attributes, attach
@@ -81,13 +81,13 @@ def trend_test(df: DataFrame, entity: str | Sequence[str], month: Column | str,
 
     One scan and one large aggregation, to entity and month. The all-months model is merged
     from its at most twelve parts, so rows are neither read nor expanded twice. Groups
-    without two values are not models and give no row.
+    without two values are not models and give no row. ``year`` is a column of year numbers
+    or the name of a date column, from which excluded years are ranges the scan can skip.
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
-    rows = df.select(*keys, as_col(month).cast("string").alias("month"),
-                     as_col(year).cast("int").alias("__year"), F.col(value).alias("__value"))
-    if exclude_years:
-        rows = rows.filter(~F.col("__year").isin(*exclude_years))
+    kept = df.filter(not_in_years(df, year, exclude_years)) if exclude_years else df
+    rows = kept.select(*keys, as_col(month).cast("string").alias("month"),
+                       year_column(df, year).alias("__year"), F.col(value).alias("__value"))
     monthly = pair_moments(rows, "__year", "__value", [*keys, "month"])
     models = add_merged_total(monthly, keys, "month", ALL_MONTHS)
     return fit_columns(models.filter(F.col("month").isNotNull() & (F.col("n") > 1)))

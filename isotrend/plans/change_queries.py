@@ -47,7 +47,7 @@ YEARLY = f"""WITH {NATION_ORDERS},
 SELECT nation, year, round(value, 6) AS value FROM yearly WHERE year >= 1996""")
 def entity_year_mean(spark: SparkSession, folder: str) -> DataFrame:
     orders = nation_orders(spark, folder)
-    return rounded(change.entity_year_mean(orders, "nation", year_of(), "o_totalprice", since=1996), ["value"])
+    return rounded(change.entity_year_mean(orders, "nation", "o_orderdate", "o_totalprice", since=1996), ["value"])
 
 
 @register("entity_series", f"""WITH {NATION_ORDERS}
@@ -63,9 +63,9 @@ def entity_series(spark: SparkSession, folder: str) -> DataFrame:
  {MONTH_NAMES}[month(o_orderdate)] AS month, o_totalprice FROM orders
 WHERE year(o_orderdate) BETWEEN 1996 AND 1999 AND month(o_orderdate) IN (12, 1, 2)""")
 def season_slice(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select(
-        "o_orderkey", year_of().alias("year"), month_name(month_of()).alias("month"), "o_totalprice")
-    return change.season_slice(orders, "year", "month", 1996, 1999, "Winter")
+    orders = table(spark, folder, "orders").withColumn("month", month_name(month_of()))
+    winters = change.season_slice(orders, "o_orderdate", "month", 1996, 1999, "Winter")
+    return winters.select("o_orderkey", year_of().alias("year"), "month", "o_totalprice")
 
 
 def _period_sql(month: str) -> str:
@@ -105,14 +105,14 @@ SELECT {_FRAME_COLUMNS} FROM framed"""
 
 @register("change_frames", _FRAMES)
 def change_frames(spark: SparkSession, folder: str) -> DataFrame:
-    frames = change.change_frames(nation_orders(spark, folder), "nation", year_of(), "o_totalprice", 1997,
+    frames = change.change_frames(nation_orders(spark, folder), "nation", "o_orderdate", "o_totalprice", 1997,
                                   (CHANGE_BREAKS, CHANGE_LABELS))
     return rounded(frames, ["value", "reference", "diff"])
 
 
 @register("change_vs_reference_year", _FRAMES + " WHERE year = 2000")
 def change_vs_reference_year(spark: SparkSession, folder: str) -> DataFrame:
-    frame = change.change_vs_reference_year(nation_orders(spark, folder), "nation", year_of(), "o_totalprice",
+    frame = change.change_vs_reference_year(nation_orders(spark, folder), "nation", "o_orderdate", "o_totalprice",
                                             2000, 1997, (CHANGE_BREAKS, CHANGE_LABELS))
     return rounded(frame, ["value", "reference", "diff"])
 
@@ -122,7 +122,7 @@ SELECT y.nation, y.year, round(y.value, 6) AS value, round(p.value, 6) AS previo
  round(y.value - p.value, 6) AS diff, {case_bins('(y.value - p.value)', CHANGE_BREAKS, CHANGE_LABELS, True)} AS category
 FROM yearly y LEFT JOIN yearly p ON p.nation = y.nation AND p.year = y.year - 1""")
 def year_over_year(spark: SparkSession, folder: str) -> DataFrame:
-    changed = change.year_over_year(nation_orders(spark, folder), "nation", year_of(), "o_totalprice",
+    changed = change.year_over_year(nation_orders(spark, folder), "nation", "o_orderdate", "o_totalprice",
                                     bins=(CHANGE_BREAKS, CHANGE_LABELS))
     return rounded(changed, ["value", "previous", "diff"])
 
@@ -134,7 +134,7 @@ SELECT o.nation, yr AS year, o_totalprice, round(baseline, 6) AS baseline,
 FROM nation_orders o LEFT JOIN base b ON o.nation = b.nation WHERE mon = 1""")
 def baseline_anomaly(spark: SparkSession, folder: str) -> DataFrame:
     orders = nation_orders(spark, folder).withColumn("year", year_of())
-    rows = change.baseline_anomaly(orders, ["nation"], "year", "o_totalprice", (1995, 1997), month_of() == 1)
+    rows = change.baseline_anomaly(orders, ["nation"], "o_orderdate", "o_totalprice", (1995, 1997), month_of() == 1)
     return rounded(rows.drop("o_orderdate"), ["baseline", "anomaly"], 6)
 
 
@@ -143,9 +143,9 @@ def baseline_anomaly(spark: SparkSession, folder: str) -> DataFrame:
  round(o_totalprice - (SELECT avg(o_totalprice) FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997), 6) AS anomaly
 FROM orders""")
 def global_baseline_anomaly(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", year_of().alias("year"))
-    rows = change.baseline_anomaly(orders, [], "year", "o_totalprice", (1995, 1997))
-    return rounded(rows.drop("year"), ["baseline", "anomaly"])
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    rows = change.baseline_anomaly(orders, [], "o_orderdate", "o_totalprice", (1995, 1997))
+    return rounded(rows.drop("o_orderdate"), ["baseline", "anomaly"])
 
 
 
@@ -156,10 +156,10 @@ SELECT o_orderkey, o_totalprice, CAST(month(o_orderdate) AS INTEGER) AS month, r
  round(o_totalprice - baseline, 6) AS anomaly
 FROM orders LEFT JOIN normal ON month(o_orderdate) = normal.month""")
 def climatology_anomaly(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", month_of().alias("month"),
-                                                   year_of().alias("year"))
-    rows = change.climatology_anomaly(orders, "month", "year", "o_totalprice", (1995, 1997))
-    return rounded(rows.drop("year"), ["baseline", "anomaly"])
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderdate",
+                                                   month_of().alias("month"))
+    rows = change.climatology_anomaly(orders, "month", "o_orderdate", "o_totalprice", (1995, 1997))
+    return rounded(rows.drop("o_orderdate"), ["baseline", "anomaly"])
 
 
 @register("climatology_anomaly_by_entity", """WITH seg AS (
@@ -174,10 +174,10 @@ def climatology_anomaly_by_entity(spark: SparkSession, folder: str) -> DataFrame
 
     segments = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"),
                                                        F.col("c_mktsegment").alias("segment"))
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
-                                                   month_of().alias("month"), year_of().alias("year"))
-    rows = change.climatology_anomaly(attach(orders, segments, "o_custkey", reduced=False), "month", "year", "o_totalprice",
-                                      (1995, 1997), ["segment"])
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
+                                                   month_of().alias("month"))
+    rows = change.climatology_anomaly(attach(orders, segments, "o_custkey", reduced=False), "month", "o_orderdate",
+                                      "o_totalprice", (1995, 1997), ["segment"])
     return rounded(rows.select("o_orderkey", "segment", "month", "anomaly"), ["anomaly"])
 
 
@@ -189,7 +189,7 @@ SELECT month, round(a, 6) AS first_value, round(b, 6) AS last_value, round((b -
 FROM m""")
 def percent_change(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").withColumn("month", month_name(month_of()))
-    changed = change.percent_change(orders, "month", year_of(), "o_totalprice", 1995, 2000)
+    changed = change.percent_change(orders, "month", "o_orderdate", "o_totalprice", 1995, 2000)
     return rounded(rounded(changed, ["first_value", "last_value"]), ["percent_change"], 6)
 
 
@@ -219,7 +219,7 @@ SELECT n_nationkey, n_name, n_regionkey, round(value, 6) AS value, {case_bins('v
  ('low', 'middle', 'high', 'top'), True)} AS category
 FROM nation LEFT JOIN (SELECT * FROM yearly WHERE year = 1998) y ON n_name = y.nation WHERE n_name <> 'NATION_13'""")
 def year_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    yearly = change.entity_year_mean(nation_orders(spark, folder), "nation", year_of(), "o_totalprice")
+    yearly = change.entity_year_mean(nation_orders(spark, folder), "nation", "o_orderdate", "o_totalprice")
     areas = table(spark, folder, "nation").filter(F.col("n_name") != "NATION_13")
     shown = change.year_snapshot(yearly, areas, "n_name", "nation", "year", "value", 1998,
                                  ((0, 240000, 250000, 260000, 500000), ("low", "middle", "high", "top")))

@@ -66,7 +66,7 @@ def untidy_text_ingest(spark: SparkSession, folder: str) -> DataFrame:
  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
 SELECT nation, year, round(value, 6) AS value FROM y""")
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    yearly = entity_year_mean(nation_orders(spark, folder), "nation", year_of(), "o_totalprice")
+    yearly = entity_year_mean(nation_orders(spark, folder), "nation", "o_orderdate", "o_totalprice")
     numbered = yearly.select(F.xxhash64("nation", "year").alias("row"), "nation", "year", "value")
     path = write_table(numbered, scratch_path(spark, "yearly"), "csv")
     back = spark.read.schema(numbered.schema).csv(path, header=True)

@@ -230,13 +230,13 @@ def year_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("monthly_totals", f"""WITH {NATION_ORDERS}
-SELECT nation, coalesce({MONTH_NAMES}[mon], 'All Months') AS month, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 6) AS mean
+SELECT nation, coalesce({MONTH_NAMES}[mon], 'All Months') AS month, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total
 FROM nation_orders GROUP BY GROUPING SETS ((nation), (nation, mon))""")
 def monthly_totals(spark: SparkSession, folder: str) -> DataFrame:
     orders = nation_orders(spark, folder).withColumn("month", month_name(month_of()))
     totals = reshape.with_total_group(orders, ["nation"], "month", [F.count(F.lit(1)).alias("n"),
-                                                                   F.avg("o_totalprice").alias("mean")], ALL_MONTHS)
-    return rounded(totals, ["mean"])
+                                                                   F.sum("o_totalprice").alias("total")], ALL_MONTHS)
+    return rounded(totals, ["total"], 2)
 
 
 def _pivoted(spark: SparkSession, folder: str) -> DataFrame:

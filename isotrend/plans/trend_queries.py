@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotrend.functions.calendar import month_name
+from isotrend.functions.calendar import month_name, not_in_years
 from isotrend.operators import trend
 from isotrend.operators.change import entity_year_mean
 from isotrend.operators.smooth import loess_curve
 from isotrend.plans.sql_text import t_p_value, t_quantile_975
 from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, PARTIAL_YEAR, month_of, nation_orders, rounded,
-                                   table, year_of)
+                                   table)
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,7 +78,7 @@ _COUNTS = """CAST(count(*) FILTER (fitted AND sig) AS BIGINT) AS significant,
 
 def nation_tests(spark: SparkSession, folder: str) -> DataFrame:
     """The trend test of every nation, for each month and all of them."""
-    return trend.trend_test(nation_orders(spark, folder), "nation", month_name(month_of()), year_of(),
+    return trend.trend_test(nation_orders(spark, folder), "nation", month_name(month_of()), "o_orderdate",
                             "o_totalprice", [PARTIAL_YEAR])
 
 
@@ -125,8 +125,9 @@ m AS (SELECT nation, regr_slope(value, yr) AS slope, regr_intercept(value, yr) A
 d AS (SELECT nation, round((intercept + slope * 2000) - (intercept + slope * 1995), 3) AS delta FROM m)
 SELECT nation, delta, round(delta / 5, 3) AS per_year FROM d""")
 def trend_delta(spark: SparkSession, folder: str) -> DataFrame:
-    orders = nation_orders(spark, folder).filter(year_of() != PARTIAL_YEAR)
-    yearly = entity_year_mean(orders, "nation", year_of(), "o_totalprice")
+    orders = nation_orders(spark, folder)
+    whole_years = orders.filter(not_in_years(orders, "o_orderdate", [PARTIAL_YEAR]))
+    yearly = entity_year_mean(whole_years, "nation", "o_orderdate", "o_totalprice")
     fit = trend.trend_fit(yearly, "year", "value", ["nation"])
     return trend.trend_delta(fit, 1995, 2000).select("nation", "delta", "per_year")
 

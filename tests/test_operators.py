@@ -218,3 +218,33 @@ def test_exact_quantiles(spark, monkeypatch, coarse):
         assert got[row.k] == pytest.approx(row.q, rel=1e-12)
     whole = list(exact_quantiles(df, "v", probs).first())
     assert whole == pytest.approx(df.agg(F.percentile("v", list(probs))).first()[0], rel=1e-12)
+
+
+DATED = [("a", "1974-03-01", 1.0), ("a", "1975-03-01", 4.0), ("b", "1974-12-31", 2.0), ("b", "1976-01-01", 8.0),
+         ("b", None, 99.0)]
+
+
+def test_date_columns_agree_with_year_numbers(spark):
+    dated = spark.createDataFrame(DATED, "e string, d string, v double").withColumn("d", F.to_date("d"))
+    numbered = dated.withColumn("y", F.year("d")).drop("d")
+
+    def same(build):
+        assert rows(build(dated, "d"), *build(dated, "d").columns) == rows(build(numbered, "y"), *build(numbered, "y").columns)
+
+    same(lambda df, y: change.entity_year_mean(df, "e", y, "v", since=1975))
+    same(lambda df, y: change.change_frames(df, "e", y, "v", 1974))
+    same(lambda df, y: change.change_vs_reference_year(df, "e", y, "v", 1975, 1974))
+    same(lambda df, y: change.year_over_year(df, "e", y, "v"))
+    same(lambda df, y: change.percent_change(df, "e", y, "v", 1974, 1975))
+    same(lambda df, y: change.baseline_anomaly(df, ["e"], y, "v", (1974, 1975)).select("e", "v", "anomaly"))
+
+
+def test_year_filters_reach_the_scan(spark, small):
+    from isotrend.operators.trend import trend_test
+
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    frame = change.change_vs_reference_year(orders, "o_orderpriority", "o_orderdate", "o_totalprice", 2000, 1997)
+    tests = trend_test(orders, "o_orderpriority", F.month("o_orderdate"), "o_orderdate", "o_totalprice", [2001])
+    for df in (frame, tests):
+        pushed = final_plan(df).split("PushedFilters:")[1].split("ReadSchema")[0]
+        assert "LessThan(o_orderdate," in pushed
