@@ -25,7 +25,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
                     names: Sequence[str] | None = None) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group, exact at any size.
 
-    Two passes over the rows, run when this is called. The first builds a bounded sketch that brackets each wanted
+    Groups of up to ``RANKED_ROWS`` rows are ranked in one bounded buffer. The others take
+    two passes over the rows, run when this is called. The first builds a bounded sketch that brackets each wanted
     rank between two values. The second counts the rows below each bracket and keeps the
     distinct values inside one, with their counts: under a thousandth of a large group.
     Those are counted into cells of equal numbers of values, and only the cell that holds
@@ -38,7 +39,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     rows = base.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
 
     brackets = settle(_brackets(rows, probs, keys))
-    marked = attach(rows, brackets, keys)
+    counted = attach(rows, brackets, keys)
+    # A group of bounded size is ranked in one buffer; the brackets serve the others.
+    few = counted.filter(F.col("n") <= RANKED_ROWS).groupBy(*keys).agg(
+        F.percentile("v", [float(p) for p in probs]).alias("q"))
+    few = few.select(*keys, *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
+    marked = counted.filter(F.col("n") > RANKED_ROWS)
     slots = [F.col("brackets")[i] for i in range(len(probs))]
     inside = reduce(lambda a, b: a | b, [F.col("v").between(s["low"], s["high"]) for s in slots])
     below = [F.count_if(F.col("v") < s["low"]).alias(f"b{i}") for i, s in enumerate(slots)]
@@ -48,7 +54,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     # One line per group and quantile: its rank among the rows inside its bracket. From here
     # on tables hold a sliver of the rows, and plain joins serve.
     skipped = cells.groupBy(*keys).agg(*[F.sum(f"b{i}").alias(f"b{i}") for i in range(len(probs))])
-    totals = left_join(skipped, brackets, keys)
+    totals = left_join(skipped, brackets.drop("n"), keys)
     lines = [F.struct(F.lit(i).alias("which"), (s["rank"] - F.col(f"b{i}")).alias("rank"),
                       s["weight"].alias("weight"), s["low"].alias("low"), s["high"].alias("high"))
              for i, s in enumerate(slots)]
@@ -60,7 +66,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
 
     found = _at_rank(spread, [*keys, "which"])
     q = [F.max(F.when(F.col("which") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
-    return found.groupBy(*keys).agg(*q).select(*[k for k in keys if k != "__all"], *names)
+    kept = [k for k in keys if k != "__all"]
+    return found.groupBy(*keys).agg(*q).unionByName(few).select(*kept, *names)
 
 
 def _brackets(rows: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFrame:
@@ -68,17 +75,14 @@ def _brackets(rows: DataFrame, probs: Sequence[float], keys: list[str]) -> DataF
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-HALF_WIDTH, HALF_WIDTH)]
     sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                      F.percentile_approx("v", edges, ACCURACY).alias("cuts"))
-    whole = F.col("n") <= RANKED_ROWS
-
     def bracket(i: int, p: float) -> Column:
         at = (F.col("n") - 1) * F.lit(float(p))
-        low = F.when(whole | F.lit(p <= HALF_WIDTH), F.lit(float("-inf"))).otherwise(F.get("cuts", F.lit(2 * i)))
-        high = F.when(whole | F.lit(p >= 1 - HALF_WIDTH), F.lit(float("inf"))) \
-                .otherwise(F.get("cuts", F.lit(2 * i + 1)))
+        low = F.lit(float("-inf")) if p <= HALF_WIDTH else F.get("cuts", F.lit(2 * i))
+        high = F.lit(float("inf")) if p >= 1 - HALF_WIDTH else F.get("cuts", F.lit(2 * i + 1))
         return F.struct(F.floor(at).alias("rank"), (at - F.floor(at)).alias("weight"),
                         low.alias("low"), high.alias("high"))
 
-    return sketch.select(*keys, F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("brackets"))
+    return sketch.select(*keys, "n", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("brackets"))
 
 
 def _at_rank(spread: DataFrame, slots: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isotrend.functions.calendar import ALL_MONTHS, MONTHS, level_index, not_in_years, year_column
-from isotrend.functions.distributions import f_upper_p, t_quantile_975, t_two_sided_p
+from isotrend.functions.distributions import t_quantile_975, t_two_sided_p
 from isotrend.functions.values import as_col, recode
 from isotrend.operators.joins import area_attributes, attach
 from isotrend.operators.moments import add_merged_total, pair_columns, pair_moments
@@ -165,8 +165,3 @@ def trend_band(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), points:
     return fitted.withColumns({"lower": F.col("fitted") - F.col("t975") * F.col("se"),
                                "upper": F.col("fitted") + F.col("t975") * F.col("se")}) \
                  .select(*keys, "point", "x", "fitted", "se", "lower", "upper")
-
-
-def model_f_test(fit: DataFrame) -> DataFrame:
-    """The p-value of the whole model's F statistic."""
-    return fit.withColumn("f_p", f_upper_p("f", "1", "dof"))

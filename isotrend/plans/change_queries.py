@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from isotrend.functions.calendar import month_name
 from isotrend.operators import change, reshape
-from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, PARTIAL_YEAR, month_of, nation_orders, rounded,
-                                   table, year_of)
+from isotrend.operators.joins import attach
+from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, PARTIAL_YEAR, month_of, nation_orders, registrar,
+                                   rounded, table, year_of)
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, register = registrar()
 # Edges in the unit of the order prices, wide enough for single months.
 PRICE_BREAKS = (float("-inf"), -10000, -5000, 0, 5000, 10000, 15000, float("inf"))
 PRICE_LABELS = ("<= -10000", "-10000 to -5000", "-5000 to 0", "0 to 5000", "5000 to 10000",
@@ -30,15 +31,6 @@ def case_bins(value: str, breaks, labels, right: bool) -> str:
     return f"CASE WHEN {value} IS NULL THEN NULL {arms} END"
 
 
-def register(name: str, sql: str | None = None):
-    def add(query):
-        QUERIES[name] = query
-        if sql:
-            ORACLES[name] = sql
-        return query
-    return add
-
-
 YEARLY = f"""WITH {NATION_ORDERS},
  yearly AS (SELECT nation, yr AS year, avg(o_totalprice) AS value FROM nation_orders GROUP BY ALL)"""
 
@@ -170,8 +162,6 @@ def climatology_anomaly(spark: SparkSession, folder: str) -> DataFrame:
 SELECT o_orderkey, s.segment, s.month, round(o_totalprice - baseline, 6) AS anomaly
 FROM seg s LEFT JOIN normal n ON s.segment = n.segment AND s.month = n.month""")
 def climatology_anomaly_by_entity(spark: SparkSession, folder: str) -> DataFrame:
-    from isotrend.operators.joins import attach
-
     segments = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"),
                                                        F.col("c_mktsegment").alias("segment"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",

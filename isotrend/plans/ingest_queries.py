@@ -5,22 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isotrend.functions.calendar import split_year_month
 from isotrend.operators.change import entity_year_mean
-from isotrend.plans.tables import nation_orders, rounded, table, year_of
+from isotrend.plans.tables import nation_orders, registrar, rounded, table, year_of
 from isotrend.session import scratch_path
 from isotrend.sources.readers import (YEAR_MONTH, drop_row_number, header_names, read_keyed_files, read_table)
 from isotrend.sources.writers import write_table
 
-QUERIES, ORACLES = {}, {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(query):
-        QUERIES[name] = query
-        if sql:
-            ORACLES[name] = sql
-        return query
-    return add
+QUERIES, ORACLES, register = registrar()
 
 
 @register("tables_by_file", """SELECT source, CAST(count(*) AS BIGINT) AS n, round(avg(balance), 6) AS balance FROM (
@@ -49,8 +41,6 @@ def _untidy_lines(orders: DataFrame) -> DataFrame:
  CAST(month(o_orderdate) AS INTEGER) AS month, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price,
  'Total.1' AS second_total FROM orders""")
 def untidy_text_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    from isotrend.functions.calendar import split_year_month
-
     path = scratch_path(spark, "untidy")
     _untidy_lines(table(spark, folder, "orders")).write.text(path)
     names = header_names(spark, path, "Date")

@@ -7,22 +7,13 @@ from pyspark.sql import functions as F
 
 from isotrend.operators import linear, pca
 from isotrend.plans.sql_text import f3_p_value, inverse3, t_p_value
-from isotrend.plans.tables import rounded, table
+from isotrend.plans.tables import registrar, rounded, table
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, register = registrar()
 PREDICTORS = ["l_quantity", "l_discount", "l_tax"]
 MEASURES = ["l_quantity", "l_extendedprice", "charge"]
 
 
-def register(name: str, sql: str | None = None):
-    def add(query):
-        QUERIES[name] = query
-        if sql:
-            ORACLES[name] = sql
-        return query
-    return add
-
-
 def charged(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with the amount charged, which moves with the price."""
     charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))

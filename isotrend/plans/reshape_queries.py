@@ -10,24 +10,15 @@ from isotrend.functions.calendar import (ALL_MONTHS, level_index, month_name, mo
                                          split_year_month, year_between)
 from isotrend.operators import joins, reshape
 from isotrend.plans.change_queries import case_bins
-from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, month_of, nation_orders, rounded,
-                                   table, year_of)
+from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, month_of, nation_orders, registrar,
+                                   rounded, table, year_of)
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, register = registrar()
 BALANCE_BREAKS = (-1000, 0, 2000, 4000, 6000, 8000, 9000)
 BALANCE_LABELS = ("Below 0", "0-2000", "2000-4000", "4000-6000", "6000-8000", "8000-9000")
 YEARS = list(range(1995, 2002))
 
 
-def register(name: str, sql: str | None = None):
-    def add(query):
-        QUERIES[name] = query
-        if sql:
-            ORACLES[name] = sql
-        return query
-    return add
-
-
 @register("column_choice", """SELECT o_custkey AS customer, o_orderstatus AS status, o_totalprice AS price,
  o_orderpriority AS priority FROM orders""")
 def column_choice(spark: SparkSession, folder: str) -> DataFrame:

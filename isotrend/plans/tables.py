@@ -19,6 +19,19 @@ MONTH_NAMES = ("['January', 'February', 'March', 'April', 'May', 'June', 'July',
                "'September', 'October', 'November', 'December']")
 
 
+def registrar():
+    """Two empty tables, queries and their SQL by name, and the decorator that fills them."""
+    queries, oracles = {}, {}
+
+    def register(name: str, sql: str):
+        def add(query):
+            queries[name], oracles[name] = query, sql
+            return query
+        return add
+
+    return queries, oracles, register
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -10,19 +10,10 @@ from isotrend.operators import trend
 from isotrend.operators.change import entity_year_mean
 from isotrend.operators.smooth import loess_curve
 from isotrend.plans.sql_text import t_p_value, t_quantile_975
-from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, PARTIAL_YEAR, month_of, nation_orders, rounded,
-                                   table)
+from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, PARTIAL_YEAR, month_of, nation_orders, registrar,
+                                   rounded, table)
 
-QUERIES, ORACLES = {}, {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(query):
-        QUERIES[name] = query
-        if sql:
-            ORACLES[name] = sql
-        return query
-    return add
+QUERIES, ORACLES, register = registrar()
 
 
 _LINE = """ count(*) AS n, CASE WHEN regr_sxx({y}, {x}) > 0 THEN regr_slope({y}, {x}) END AS slope, regr_intercept({y}, {x}) AS intercept,
