@@ -14,7 +14,7 @@ MAX_REPEAT_SHARE = 0.5
 MAX_SYMBOL_SHARE = 0.1
 MAX_DUPLICATE_LINE_SHARE = 0.5
 # A host goes when its shrunk share of failing documents is above this.
-MAX_HOST_FAILURE = 0.75
+MAX_HOST_FAILURE = 0.9
 
 
 def rule_measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotrend.llm import exact_dedup, quality
+from isotrend.llm import exact_dedup, mixing, packing, quality, simhash, token_files
 from isotrend.plans.tables import table
+from isotrend.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -20,6 +21,26 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op3_simhash")
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", "fingerprint", "component_id")
+
+
+@register("op4_token_files")
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, folder, "documents"), path)
+    return token_files.with_crc(token_files.read_tokens(spark, path))
+
+
+@register("op7_packing")
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "tier", "step_id")
+
+
 @register("op8_quality_rules", r"""
 WITH words AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -54,7 +75,7 @@ prior AS (
   SELECT m, CASE WHEN s - m * (1 - m) * inverse / h > 0
     THEN greatest((m * (1 - m) - s) / (s - m * (1 - m) * inverse / h), 0) END AS k FROM spreads),
 bad AS (
-  SELECT host FROM hosts, prior WHERE CASE WHEN k IS NULL THEN m ELSE (f + k * m) / (n + k) END > 0.75)
+  SELECT host FROM hosts, prior WHERE CASE WHEN k IS NULL THEN m ELSE (f + k * m) / (n + k) END > 0.9)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.host IS NOT DISTINCT FROM failed.host) AS kept
 FROM failed""")
@@ -64,6 +85,11 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+@register("op9_mixing")
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(table(spark, folder, "documents"))
+
+
 @register("op10_exact_dedup", r"""
 WITH rows AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
