@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotrend.llm import exact_dedup, mixing, packing, quality, simhash, token_files
+from isotrend.llm import (backoff_lm, exact_dedup, language_id, licenses, mixing, packing, pii, quality, simhash,
+                          token_files)
 from isotrend.plans.tables import table
 from isotrend.session import scratch_path
 
@@ -21,6 +22,20 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    answered = language_id.identify(table(spark, folder, "documents"))
+    return answered.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@register("op2_pii")
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    base = pii.listed(lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.BASE],
+                        F.sha2(base, 256).alias("base_sha256"), pii.listed().alias("spans"))
+
+
 @register("op3_simhash")
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, folder, "documents"))
@@ -34,6 +49,17 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_crc(token_files.read_tokens(spark, path))
 
 
+@register("op5_license_scan")
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "notice", "containment", "start", "n_shingles")
+
+
+@register("op6_backoff_lm")
+def op6_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff_lm.scores(table(spark, folder, "documents"))
+
+
 @register("op7_packing")
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"))

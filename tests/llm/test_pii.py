@@ -1,0 +1,92 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from isotrend.llm import pii
+from isotrend.llm.queries import op2_pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(number):
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def valid(kind, found):
+    digits = "".join(c for c in found if c.isdigit())
+    return {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in found.split(".")),
+            "card": lambda: 13 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 9 <= len(digits) <= 15}[kind]()
+
+
+def base(text):
+    return [(kind, m.start(), m.end()) for kind in PATTERNS for m in re.finditer(PATTERNS[kind], text or "", re.ASCII)
+            if valid(kind, m.group())]
+
+
+@pytest.fixture(scope="module")
+def automaton():
+    return pii.anchors()
+
+
+def ours(text, automaton):
+    return [s for s in pii.find(text, automaton) if s[0] in pii.BASE]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.text(st.sampled_from("0159.@+-() aZ_%é\U0001F600\n"), max_size=60))
+def test_like_the_patterns(automaton, text):
+    assert ours(text, automaton) == base(text)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "4111111111111111", "1.2.3.4", "256.1.1.1", "1.2.3", "+1 (988) 555-2485", "+",
+                                 "a.b@c.de", "@", "x@y", ".", " ", "-", "7", "é", "http://", "1" * 20, "account: "]), max_size=10))
+def test_like_the_patterns_in_pieces(automaton, parts):
+    text = "".join(parts)
+    assert ours(text, automaton) == base(text)
+
+
+def test_query_on_documents(spark, small, rows):
+    got = {r.doc_id: r for r in op2_pii(spark, small).collect()}
+    assert len(got) == len(rows)
+    some = 0
+    for doc_id, text, _, _ in rows:
+        want = base(text)
+        r = got[doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in PATTERNS]
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert r.spans.startswith(listed)
+        some += bool(want)
+    assert some > 5
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("see http://bob:pw@host.example/x, now", "address", "http://bob:pw@host.example/x"),
+    ("see https://10.0.0.1:8080/x.", "address", "https://10.0.0.1:8080/x"),
+    ("IBAN: DE89 3704 0044 0532 0130 00.", "account", "DE89 3704 0044 0532 0130 00"),
+    ("my account no. 1234567890 is", "account", "1234567890"), ("SSN 123-45-6789,", "account", "123-45-6789")])
+def test_added_spans(automaton, text, kind, value):
+    assert [text[a:b] for k, a, b in pii.find(text, automaton) if k == kind] == [value]
+
+
+@pytest.mark.parametrize("text", ["http://example.org/x", "IBAN: DE88 3704 0044 0532 0130 00", "no account here, 5 of 7",
+                                  "discount 1234567890", "the ssn", "account", "iban:", "http://"])
+def test_nothing_added(automaton, text):
+    assert [s for s in pii.find(text, automaton) if s[0] not in pii.BASE] == []
+
+
+def test_odd(odd, odd_rows, nothing, all_missing):
+    got = pii.personal_data(odd).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in odd_rows)
+    assert pii.personal_data(nothing).count() == 0
+    assert [r.spans for r in pii.personal_data(all_missing).collect()] == [[]] * 3
