@@ -57,7 +57,8 @@ def season_of(month: Column | str) -> Column:
 
 
 def _day(year: int, month: int) -> Column:
-    return F.lit(date(year, month, 1))
+    """First day of a month; beyond the years a Python date can hold, a constant the planner folds."""
+    return F.lit(date(year, month, 1)) if year <= date.max.year else F.make_date(F.lit(year), F.lit(month), F.lit(1))
 
 
 def year_between(when: Column | str, first: int, last: int) -> Column:
@@ -98,6 +99,13 @@ def in_years(df: DataFrame, year: Column | str, first: int, last: int | None = N
     return year_column(df, year).between(first, last)
 
 
+def since_year(df: DataFrame, year: Column | str, first: int) -> Column:
+    """Whether a row falls in ``first`` or any later year, without an upper end."""
+    if _is_date(df, year):
+        return F.col(year) >= _day(first, 1)
+    return year_column(df, year) >= first
+
+
 def not_in_years(df: DataFrame, year: Column | str, years: Sequence[int]) -> Column:
     """Whether a row falls outside all of the years, in the same pushable form."""
     keep = F.lit(True)

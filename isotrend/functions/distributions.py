@@ -22,9 +22,10 @@ HALF_LOG_TWO_PI = 0.9189385332046727
 # Fixed value: 0.975 quantile of the standard normal distribution.
 Z_975 = 1.959963984540054
 TERMS = 60
-# Past this many degrees of freedom the tail no longer moves in the eighth digit, while
-# 1 - x, of size t*t/dof, would begin to lose digits.
-DOF_LIMIT = 2e8
+# From here on the fraction would lose digits, since 1 - x is of size t*t/dof; the tail is then that of
+# a gamma distribution, whose error is of size 1/dof². Both agree to 1e-9 where they meet.
+LARGE_DOF = 1e6
+GAMMA_TERMS = 400
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -68,16 +69,31 @@ def _beta_fraction(a: str, b: str, x: str) -> str:
             f" tail -> 1D / (1D + {near} / (1D + tail)))")
 
 
+def _gamma_tail(b: str, y: str) -> str:
+    """Upper tail of the gamma distribution of shape b: a series below its mean, a fraction above."""
+    series = ("1D - g.front * aggregate(sequence(1, {n}), named_struct('term', 1D / g.b, 'sum', 1D / g.b),"
+              " (t, i) -> named_struct('term', t.term * g.y / (g.b + i), 'sum', t.sum + t.term * g.y / (g.b + i)),"
+              " t -> t.sum)").format(n=GAMMA_TERMS)
+    fraction = ("g.front / aggregate(sequence({n}, 1, -1), g.y + 2D * {n} + 1D - g.b,"
+                " (t, i) -> g.y + 2D * (i - 1) + 1D - g.b - i * (i - g.b) / t)").format(n=GAMMA_TERMS)
+    front = f"exp(c.b * ln(c.y) - c.y - {_log_gamma('c.b')})"
+    body = _let("g", f"named_struct('b', c.b, 'y', c.y, 'front', {front})",
+                f"CASE WHEN g.y < g.b + 1D THEN {series} ELSE {fraction} END")
+    return _let("c", f"named_struct('b', {b}, 'y', {y})", body)
+
+
 def _f_upper(f: str, d1: str, d2: str) -> str:
     front = f"exp(s.b * ln(s.w) - (s.a + s.b) * log1p(s.w) - {_log_beta('s.a', 's.b')})"
     # Left of the mean the fraction converges for x, right of it for 1 - x.
-    low = "1D / (1D + s.w) < (s.a + 1D) / (s.a + s.b + 2D)"
+    low = "s.b + 1D < (s.a + 1D) * s.w"
     side = (f"CASE WHEN {low} THEN named_struct('p', s.a, 'q', s.b, 'x', 1D / (1D + s.w), 'low', true)"
             f" ELSE named_struct('p', s.b, 'q', s.a, 'x', s.w / (1D + s.w), 'low', false) END")
     part = f"{front} * {_beta_fraction('e.p', 'e.q', 'e.x')} / e.p"
     tail = _let("e", side, f"CASE WHEN e.low THEN {part} ELSE 1D - {part} END")
-    body = f"CASE WHEN s.w <= 0 THEN 1D WHEN isnan(s.w) OR s.w > 1e290D THEN 0D ELSE {tail} END"
-    dof = f"least(double({d2}), {DOF_LIMIT}D)"
+    body = (f"CASE WHEN s.w <= 0 THEN 1D WHEN isnan(s.w) OR s.w > 1e290D THEN 0D"
+            f" WHEN s.a >= {LARGE_DOF / 2}D AND s.a > 1000 * s.b THEN {_gamma_tail('s.b', '((s.a + (s.b - 1D) / 2) * log1p(s.w))')}"
+            f" ELSE {tail} END")
+    dof = f"double({d2})"
     state = f"named_struct('a', {dof} / 2, 'b', double({d1}) / 2, 'w', double({d1}) * ({f}) / {dof})"
     return f"CASE WHEN ({f}) IS NOT NULL AND {d1} > 0 AND {d2} > 0 THEN {_let('s', state, body)} END"
 
@@ -101,7 +117,7 @@ def t_quantile_975(dof: str) -> Column:
     Starts from the expansion around the normal quantile and refines it by Newton steps on
     the log of the tail probability, which converges from either side.
     """
-    n = f"least(double({dof}), {DOF_LIMIT}D)"
+    n = f"double({dof})"
     z, z3, z5, z7 = Z_975, Z_975 ** 3, Z_975 ** 5, Z_975 ** 7
     guess = (f"{z}D + {(z3 + z) / 4}D / {n} + {(5 * z5 + 16 * z3 + 3 * z) / 96}D / ({n} * {n})"
              f" + {(3 * z7 + 19 * z5 + 17 * z3 - 15 * z) / 384}D / ({n} * {n} * {n})")

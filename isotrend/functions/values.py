@@ -26,8 +26,13 @@ LEVEL_LABELS = ("Below 30", "30-35", "35-40", "40-45", "45-50", "50-55", "55-60"
                 "65-70", "70-75", "Above 75")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots, spaces and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def as_col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+    return named(value) if isinstance(value, str) else value
 
 
 def nan_to_null(value: Column | str) -> Column:
@@ -59,7 +64,7 @@ def recode(value: Column | str, mapping: Mapping[str, str]) -> Column:
 
 def round_all(df: DataFrame, columns: Sequence[str], places: int) -> DataFrame:
     """Round the listed measure columns, ties to even."""
-    return df.withColumns({c: F.bround(F.col(c), places) for c in columns})
+    return df.withColumns({c: F.bround(named(c), places) for c in columns})
 
 
 def bin_index(value: Column | str, breaks: Sequence[float], right: bool = True) -> Column:
@@ -126,9 +131,20 @@ def signif(value: Column | str, digits: int = 3) -> Column:
 
 
 def number_text(value: Column | str) -> Column:
-    """A double as short plain text: ``20.0`` prints as ``20``, ``0.50`` as ``0.5``."""
-    text = as_col(value).try_cast(T.DecimalType(38, 12)).cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "")
+    """A number as short text: ``20.0`` prints as ``20``, ``0.50`` as ``0.5``, ``1e27`` as ``1e+27``.
+
+    The digits are the shortest that give the same double back. From 1e-12 to 1e15 they are
+    written out, beyond with an exponent; infinities print as ``Inf`` and ``-Inf``, and only a
+    missing value gives NULL.
+    """
+    # Adding zero turns a negative zero into zero.
+    number = as_col(value).cast("double") + F.lit(0.0)
+    size, short = F.abs(number), number.cast("string")
+    written = F.when((size >= 1) & (size < 1e15), number.try_cast(T.DecimalType(38, 20)).cast("string")) \
+        .when((size >= 1e-12) & (size < 1), number.try_cast(T.DecimalType(38, 37)).cast("string"))
+    plain = F.regexp_replace(F.coalesce(F.when(short.contains("E"), written), short), r"\.0+$|(\.[0-9]*[1-9])0+$", "$1")
+    exponent = F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), r"E(?=[0-9])", "e+")
+    return F.replace(F.replace(exponent, F.lit("E"), F.lit("e")), F.lit("Infinity"), F.lit("Inf"))
 
 
 def label_text(*parts: Column | str | float, sep: str = "", missing: str = "NA") -> Column:

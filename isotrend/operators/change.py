@@ -15,11 +15,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotrend.functions.calendar import in_period, in_season, in_years, not_in_years, year_column
+from isotrend.functions.calendar import (MONTHS, in_period, in_season, in_years, not_in_years, since_year,
+                                           year_column)
 from isotrend.functions.values import (CHANGE_BREAKS, CHANGE_LABELS, PERIOD_BREAKS, PERIOD_LABELS,
                                        bin_label)
 from isotrend.operators.joins import area_attributes, attach, left_join
-from isotrend.operators.reshape import mean_where, rows_before, stack_tagged, value_at
+from isotrend.operators.reshape import mean_of, mean_where, rows_before, stack_tagged, value_at
 
 Bins = tuple[Sequence[float], Sequence[str]]
 
@@ -28,8 +29,8 @@ def entity_year_mean(df: DataFrame, entity: str | Sequence[str], year: Column |
                      since: int | None = None) -> DataFrame:
     """Mean per entity and year, missing values skipped, optionally from a first year on."""
     keys = [entity] if isinstance(entity, str) else list(entity)
-    rows = df if since is None else df.filter(in_years(df, year, since, 9998))
-    return rows.groupBy(*keys, year_column(df, year).alias("year")).agg(F.avg(value).alias("value"))
+    rows = df if since is None else df.filter(since_year(df, year, since))
+    return rows.groupBy(*keys, year_column(df, year).alias("year")).agg(mean_of(value).alias("value"))
 
 
 def entity_series(df: DataFrame, entity: str, name, when: str, value: str,
@@ -40,7 +41,7 @@ def entity_series(df: DataFrame, entity: str, name, when: str, value: str,
         rows = rows.filter(F.month(when) == month)
     if drop_year is not None:
         rows = rows.filter(not_in_years(rows, when, [drop_year]))
-    return rows.groupBy(F.year(when).alias("year")).agg(F.avg(value).alias("value")).orderBy("year")
+    return rows.groupBy(F.year(when).alias("year")).agg(mean_of(value).alias("value")).orderBy("year")
 
 
 def season_slice(df: DataFrame, year: str, month: str, first: int, last: int, season: str) -> DataFrame:
@@ -55,7 +56,7 @@ def baseline_anomaly(df: DataFrame, entity: Sequence[str], year: Column | str, v
     The base mean runs over all months of the entity; ``month`` then keeps matching rows.
     Without an entity the mean is one scalar, computed once.
     """
-    past, mean = df.filter(in_years(df, year, *base)), F.avg(value).alias("baseline")
+    past, mean = df.filter(in_years(df, year, *base)), mean_of(value).alias("baseline")
     if entity:
         rows = attach(df, past.groupBy(*entity).agg(mean), entity)
     else:
@@ -68,22 +69,23 @@ def baseline_anomaly(df: DataFrame, entity: Sequence[str], year: Column | str, v
 def climatology(df: DataFrame, keys: Sequence[str], year: Column | str, value: str,
                 base: tuple[int, int]) -> DataFrame:
     """Mean per month (and any other key) over the base years."""
-    return df.filter(in_years(df, year, *base)).groupBy(*keys).agg(F.avg(value).alias("baseline"))
+    return df.filter(in_years(df, year, *base)).groupBy(*keys).agg(mean_of(value).alias("baseline"))
 
 
 def climatology_anomaly(df: DataFrame, month: str, year: Column | str, value: str,
                         base: tuple[int, int], entity: Sequence[str] = ()) -> DataFrame:
     """Deviation of each value from the mean of its own month over the base years.
 
-    Without an entity the climatology has at most 12 rows (and one for a missing month), a
-    bound that holds at any scale, so it is broadcast.
+    ``month`` holds names or numbers of months; any other label has no climatology. So without
+    an entity there are at most 25 rows whatever the data hold, and those are broadcast.
     """
     keys = [*entity, month]
     normal = climatology(df, keys, year, value, base)
     if entity:
         rows = attach(df, normal, keys)
     else:
-        rows = left_join(df, F.broadcast(normal), keys)
+        known = F.col(month).cast("string").isin(*MONTHS, *[str(i) for i in range(1, 13)])
+        rows = left_join(df, F.broadcast(normal.filter(F.col(month).isNull() | known)), keys)
     return rows.withColumn("anomaly", F.col(value) - F.col("baseline"))
 
 
@@ -149,8 +151,12 @@ def percent_change(df: DataFrame, keys: str | Sequence[str], year: Column | str,
 
 def year_snapshot(df: DataFrame, areas: DataFrame, area_key: str, entity: str, year: str, value: str,
                   at: int, bins: Bins | None = None) -> DataFrame:
-    """All areas with their value in one year, NULL where an area has none."""
-    slice_ = df.filter(F.col(year) == at).select(entity, value)
+    """All areas with their mean value in one year, NULL where an area has none.
+
+    ``year`` is a column of year numbers or a date column; the filter comes before the mean, and
+    from a date column it is a range that reaches the scan.
+    """
+    slice_ = df.filter(in_years(df, year, at)).groupBy(entity).agg(mean_of(value).alias(value))
     shown = area_attributes(areas, slice_, {area_key: entity})
     return shown if bins is None else shown.withColumn("category", bin_label(value, *bins))
 

@@ -1,4 +1,4 @@
-"""Left joins: missing keys match, hot keys do not shuffle, nothing is broadcast unchecked."""
+"""Left joins: missing keys match, and only the planner decides on broadcasts, by size in bytes."""
 
 from __future__ import annotations
 
@@ -8,14 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotrend.session import settle
-
-# A lookup is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
-# A key is hot when it may hold more than this share of the rows; at most 1/share keys are.
-HOT_SHARE = 0.001
-# Input below this size needs no care for hot keys.
-SMALL_BYTES = 256 * 1024 * 1024
+from isotrend.functions.values import named
 
 
 def _as_pairs(on: str | Sequence[str] | Mapping[str, str]) -> list[tuple[str, str]]:
@@ -33,60 +26,22 @@ def left_join(df: DataFrame, other: DataFrame, on: str | Sequence[str] | Mapping
     """
     pairs = _as_pairs(on)
     tagged = other.withColumnsRenamed({right: f"__right_{right}" for _, right in pairs})
-    sides = [(F.col(left), F.col(f"__right_{right}")) for left, right in pairs]
+    sides = [(named(left), named(f"__right_{right}")) for left, right in pairs]
     terms = [a.eqNullSafe(b) if null_safe else a == b for a, b in sides]
     joined = df.join(tagged, reduce(lambda a, b: a & b, terms), how)
     return joined.drop(*[f"__right_{right}" for _, right in pairs])
 
 
-def _small_join(df: DataFrame, lookup: DataFrame) -> bool:
-    """Whether Catalyst will broadcast the lookup by itself, or all input of ``df`` is small.
-
-    The input is measured at the leaves of the plan: estimates above a join are products.
-    """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    if int(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit:
-        return True
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) <= SMALL_BYTES
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Every key that holds more than ``share`` of the rows, found by a bounded one-pass sketch.
-
-    The sketch keeps at most ``1/share`` counters, so the result is small by construction.
-    It may list a key that is not hot, which costs nothing but its place in the broadcast.
-    """
-    sketch = df.select(F.struct(*keys).alias("key")).stat.freqItems(["key"], share)
-    return sketch.select(F.explode("key_freqItems").alias("key")).select("key.*")
-
-
-def attach(df: DataFrame, lookup: DataFrame, keys: str | Sequence[str], null_safe: bool = True,
-           reduced: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(df: DataFrame, lookup: DataFrame, keys: str | Sequence[str], null_safe: bool = True) -> DataFrame:
     """Add the columns of a one-row-per-key ``lookup`` to every row of a large ``df``.
 
-    1. Catalyst estimates the lookup below its broadcast threshold, or the files behind
-       ``df`` are too small for skew to matter: a plain left join.
-    2. A ``reduced`` lookup, the result of an aggregation, is often far smaller than any
-       estimate. It is computed once, written to the checkpoint folder and counted: up to
-       ``broadcast_rows`` rows it is broadcast.
-    3. Otherwise rows of hot keys meet the lookup rows of those keys by broadcast and never
-       shuffle; all other rows take the shuffled join, where no key is large any more.
-
-    All three return the same rows.
+    A plain left join, so filters on ``df`` reach its scan and ``df`` is read once. Whether the
+    lookup is broadcast is for the planner, which does so only below the session's limit in bytes:
+    by its estimate, or by the size it measures while the query runs. Otherwise both sides shuffle,
+    and adaptive execution splits the partitions in which hot keys of ``df`` meet their one row.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if _small_join(df, lookup):
-        return left_join(df, lookup, keys, null_safe)
-    if reduced:
-        lookup = settle(lookup)
-        if lookup.count() <= broadcast_rows:
-            return left_join(df, F.broadcast(lookup), keys, null_safe)
-    hot = F.broadcast(hot_keys(df, keys))
-    hot_lookup = F.broadcast(left_join(lookup, hot, keys, how="left_semi"))
-    warm = left_join(left_join(df, hot, keys, how="left_semi"), hot_lookup, keys, null_safe)
-    cold = left_join(left_join(df, hot, keys, how="left_anti"), lookup, keys, null_safe)
-    return warm.unionByName(cold)
+    return left_join(df, lookup, keys, null_safe)
 
 
 def join_drivers(base: DataFrame, drivers: Sequence[DataFrame], key: str) -> DataFrame:

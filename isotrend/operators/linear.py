@@ -6,7 +6,7 @@ rows behind it. The k by k algebra runs in ``mapInPandas`` over those rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -17,15 +17,17 @@ from pyspark.sql import types as T
 
 from isotrend.functions.distributions import Z_975, f_upper_p, t_two_sided_p
 from isotrend.operators.joins import attach
-from isotrend.operators.moments import moment_matrix
+from isotrend.operators.moments import moment_matrix, quoted, result_keys
 
-# A predictor is redundant when the share of its variance left by earlier ones is below this.
+# A predictor is redundant when the share of its variance left by earlier ones is below this. Products of
+# moments hold no more than about twelve digits, so shares near 1e-14 cannot be told from rounding.
 ALIAS_TOLERANCE = 1e-10
 
 TERM = T.StructType([
     T.StructField("position", T.IntegerType()), T.StructField("term", T.StringType()),
     T.StructField("estimate", T.DoubleType()), T.StructField("std_error", T.DoubleType()),
     T.StructField("t", T.DoubleType()), T.StructField("std_estimate", T.DoubleType()),
+    T.StructField("std_estimate_error", T.DoubleType()),
     T.StructField("ss", T.DoubleType()), T.StructField("vif", T.DoubleType())])
 MODEL = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("df_model", T.IntegerType()),
@@ -36,10 +38,12 @@ MODEL = T.StructType([
 
 
 def unpack_cross(cross: Sequence[float], k: int) -> np.ndarray:
-    """Symmetric matrix from its stored upper triangle."""
-    full = np.zeros((k, k))
-    full[np.triu_indices(k)] = cross
-    return full + np.triu(full, 1).T
+    """Symmetric matrix from its stored upper triangle, or a stack of them."""
+    cross = np.asarray(cross, float)
+    full = np.zeros((*cross.shape[:-1], k, k))
+    rows, columns = np.triu_indices(k)
+    full[..., rows, columns] = full[..., columns, rows] = cross
+    return full
 
 
 def _independent(corr: np.ndarray) -> list[int]:
@@ -58,19 +62,27 @@ def _ratio(a: float, b: float) -> float | None:
     return float(np.sign(a) * np.inf) if a else None
 
 
-def solve_model(n: int, means: np.ndarray, cross: np.ndarray, names: Sequence[str]) -> dict:
+def scaled(cross: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Roots of the diagonal, and the products divided by them; for one matrix or a stack."""
+    spread = np.sqrt(np.diagonal(cross, axis1=-2, axis2=-1))
+    safe = np.where(spread > 0, spread, 1.0)
+    return spread, cross / (safe[..., :, None] * safe[..., None, :])
+
+
+def solve_model(n: int, means: np.ndarray, cross: np.ndarray, names: Sequence[str], inverse: np.ndarray | None = None) -> dict:
     """Least squares of variable 0 on the others, from centred products.
 
     The predictors are scaled to unit variance before solving, so a year near 2000 and a
-    small anomaly are equally well conditioned. Redundant predictors get no estimate.
+    small anomaly are equally well conditioned. Redundant predictors get no estimate. ``inverse``
+    is that of the predictors' correlations, where it is known and none is redundant.
     """
-    spread = np.sqrt(np.diag(cross))
+    spread, corr = scaled(cross)
     safe = np.where(spread > 0, spread, 1.0)
-    corr = cross / np.outer(safe, safe)
-    kept = _independent(corr[1:, 1:])
+    kept = _independent(corr[1:, 1:]) if inverse is None else list(range(len(names)))
     at = [j + 1 for j in kept]
     sst = float(cross[0, 0])
-    inverse = np.linalg.inv(corr[np.ix_(at, at)]) if at else np.zeros((0, 0))
+    if inverse is None:
+        inverse = np.linalg.inv(corr[np.ix_(at, at)]) if at else np.zeros((0, 0))
     beta = inverse @ corr[at, 0]
     sse = max(sst - float(beta @ corr[at, 0]) * sst, 0.0)
     sse = 0.0 if sse <= sst * 1e-15 else sse
@@ -80,13 +92,15 @@ def solve_model(n: int, means: np.ndarray, cross: np.ndarray, names: Sequence[st
     intercept = float(means[0] - estimates @ means[at])
     shift = means[at] / safe[at]
     terms = [dict(position=0, term="(Intercept)", estimate=intercept, std_error=None, t=None,
-                  std_estimate=0.0, ss=None, vif=None)]
+                  std_estimate=0.0, std_estimate_error=None, ss=None, vif=None)]
     if mse is not None:
         se = float(np.sqrt(mse * (1.0 / n + shift @ inverse @ shift)))
-        terms[0].update(std_error=se, t=_ratio(intercept, se))
+        # On standardised variables the intercept is zero, with the error of a mean.
+        error = float(np.sqrt(mse / n) / (spread[0] / np.sqrt(n - 1))) if sst > 0 else None
+        terms[0].update(std_error=se, t=_ratio(intercept, se), std_estimate_error=error)
     for j, name in enumerate(names):
         term = dict(position=j + 1, term=name, estimate=None, std_error=None, t=None,
-                    std_estimate=None, ss=None, vif=None)
+                    std_estimate=None, std_estimate_error=None, ss=None, vif=None)
         if j in kept:
             i = kept.index(j)
             vif = float(inverse[i, i])
@@ -94,7 +108,8 @@ def solve_model(n: int, means: np.ndarray, cross: np.ndarray, names: Sequence[st
                         vif=vif, ss=float(beta[i] ** 2 / vif * sst))
             if mse is not None:
                 se = float(np.sqrt(mse * vif)) / float(safe[j + 1])
-                term.update(std_error=se, t=_ratio(float(estimates[i]), se))
+                term.update(std_error=se, t=_ratio(float(estimates[i]), se),
+                            std_estimate_error=se * float(safe[j + 1] / spread[0]) if sst > 0 else None)
         terms.append(term)
     r2 = 1.0 - sse / sst if sst > 0 else None
     adjusted = 1.0 - (1.0 - r2) * (n - 1) / df_resid if r2 is not None and df_resid > 0 else None
@@ -103,25 +118,45 @@ def solve_model(n: int, means: np.ndarray, cross: np.ndarray, names: Sequence[st
                 adj_r2=adjusted, sigma=None if mse is None else float(np.sqrt(mse)), f=f, terms=terms)
 
 
-def _with_keys(moments: DataFrame, keys: Sequence[str], body: T.StructType) -> T.StructType:
-    return T.StructType([moments.schema[k] for k in keys] + body.fields)
+def solved(moments: DataFrame, keys: int, solve: Callable, body: T.StructType) -> DataFrame:
+    """Solve the moments of a batch of groups at once.
+
+    ``solve(n, means, cross)`` gets them stacked and yields (position in the batch, result fields).
+    The first ``keys`` columns are keys; they are carried by position, so any name will do.
+    """
+    fields = moments.schema.fields
+    inner = [T.StructField(f"__key{i}", f.dataType) for i, f in enumerate(fields[:keys])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n, means, cross = (batch.iloc[:, keys + i] for i in range(3))
+            some = np.flatnonzero(n.to_numpy() > 0)
+            out = list(solve(n.to_numpy()[some], np.array(means.to_list(), float)[some],
+                             np.array(cross.to_list(), float)[some])) if len(some) else []
+            carried = batch.iloc[some[[at for at, _ in out]] if out else [], :keys].reset_index(drop=True)
+            carried.columns = [f.name for f in inner]
+            yield pd.concat([carried, pd.DataFrame([fields for _, fields in out], columns=body.names)], axis=1)
+
+    unnamed = moments.toDF(*[f.name for f in inner], *[f.name for f in fields[keys:]])
+    return unnamed.mapInPandas(run, T.StructType(inner + body.fields)).toDF(*[f.name for f in fields[:keys]], *body.names)
 
 
 def fit_moments(moments: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """One fitted model per row of moments; variable 0 is the response."""
-    keys, names = list(keys), list(names)
+    names = list(names)
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.n > 0:
-                    cross = unpack_cross(row.cross, len(names) + 1)
-                    model = solve_model(row.n, np.asarray(row.means), cross, names)
-                    out.append({**{k: getattr(row, k) for k in keys}, **model})
-            yield pd.DataFrame(out, columns=[*keys, *MODEL.names])
+    def solve(n: np.ndarray, means: np.ndarray, cross: np.ndarray) -> Iterator[tuple[int, dict]]:
+        full = unpack_cross(cross, len(names) + 1)
+        spread, corr = scaled(full)
+        # Groups without redundant predictors are inverted together, the others one by one.
+        whole = [len(_independent(c)) == len(names) for c in corr[:, 1:, 1:]]
+        inverses = np.empty((len(n), len(names), len(names)))
+        if any(whole):
+            inverses[whole] = np.linalg.inv(corr[whole][:, 1:, 1:])
+        for i in range(len(n)):
+            yield i, solve_model(n[i], means[i], full[i], names, inverses[i] if whole[i] else None)
 
-    return moments.mapInPandas(solve, _with_keys(moments, keys, MODEL))
+    return solved(moments, len(keys), solve, MODEL)
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -135,14 +170,14 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> D
 
 def coefficients(models: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per model and term, with the two-sided p-value; a redundant term is all NULL."""
-    rows = models.select(*keys, "n", "df_resid", "r2", "adj_r2", "sigma", "f", "df_model",
+    rows = models.select(*quoted(result_keys(keys)), "n", "df_resid", "r2", "adj_r2", "sigma", "f", "df_model",
                          F.inline("terms"))
     return rows.withColumn("p", t_two_sided_p("t", "df_resid"))
 
 
 def model_tests(models: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per model: R², adjusted R², residual error, F and its p-value."""
-    return models.select(*keys, "n", "df_model", "df_resid", "r2", "adj_r2", "sigma", "f",
+    return models.select(*quoted(result_keys(keys)), "n", "df_model", "df_resid", "r2", "adj_r2", "sigma", "f",
                          f_upper_p("f", "df_model", "df_resid").alias("f_p"))
 
 
@@ -167,6 +202,7 @@ def anova_table(models: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     last = F.size("terms")
     tail = [line(last, F.lit("Error"), sse, F.col("df_resid"), null, null),
             line(last + 1, F.lit("Total"), sst, F.col("n") - 1, null, null)]
+    keys = quoted(result_keys(keys))
     rows = models.withColumn("__mse", mse).select(
         *keys, "df_resid", F.inline(F.concat(F.array(head), each, F.array(*tail))))
     return rows.withColumn("ms", F.try_divide("ss", F.nullif("df", F.lit(0)))) \
@@ -176,6 +212,7 @@ def anova_table(models: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def vif_table(models: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Variance inflation factor of each predictor."""
+    keys = quoted(result_keys(keys))
     return models.select(*keys, F.inline("terms")).filter(F.col("position") > 0) \
                  .select(*keys, "position", "term", "vif")
 

@@ -13,12 +13,29 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isotrend.functions.values import named, nan_to_null
+
 PAIR = ("n", "mean_x", "mean_y", "sxx", "syy", "sxy")
 
 
+# Columns that results of models have; a key of the same name gets an ending.
+RESULT_NAMES = frozenset("""n means cross df_model df_resid sse sst r2 adj_r2 sigma f terms position term estimate std_error t
+ std_estimate std_estimate_error ss vif p f_p component eigenvalue sdev share cumulative loadings sds percent
+ cumulative_percent variable loading coordinate cos2 source df ms pre""".split())
+
+
+def result_keys(keys: Sequence[str]) -> list[str]:
+    """Names of the keys in results: ``n`` and the like become ``n_key``, all others stay."""
+    return [f"{k}_key" if k in RESULT_NAMES else k for k in keys]
+
+
+def quoted(keys: Sequence[str]) -> list[Column]:
+    return [named(k) for k in keys]
+
+
 def pair_columns(x: Column | str, y: Column | str) -> list[Column]:
     """Moments of the complete (x, y) pairs of a group; centred, never raw sums of squares."""
-    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = (nan_to_null((F.col(c) if isinstance(c, str) else c).cast("double")) for c in (x, y))
     return [F.regr_count(y, x).alias("n"), F.regr_avgx(y, x).alias("mean_x"),
             F.regr_avgy(y, x).alias("mean_y"), F.regr_sxx(y, x).alias("sxx"),
             F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy")]
@@ -61,18 +78,20 @@ def add_merged_total(parts: DataFrame, keys: Sequence[str], part: str, label: st
 def moment_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """One row per group: ``n``, ``means`` and the upper triangle ``cross`` of centred products.
 
-    Rows with a missing value in any listed column are left out, as a model fit does.
+    Keys have the names of ``result_keys``. Rows with a missing value in any listed column are left out, as a model fit does.
     """
-    complete = df
-    for c in columns:
-        complete = complete.filter(F.col(c).isNotNull())
-    values = complete.select(*keys, *[F.col(c).cast("double").alias(f"v{i}")
-                                      for i, c in enumerate(columns)])
+    keys = list(keys)
+    values = df.select(*[named(k).alias(f"__key{i}") for i, k in enumerate(keys)],
+                       *[nan_to_null(named(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
+    for i in range(len(columns)):
+        values = values.filter(F.col(f"v{i}").isNotNull())
+    inner = [f"__key{i}" for i in range(len(keys))]
     k = range(len(columns))
     pairs = list(combinations_with_replacement(k, 2))
     products = [(F.var_pop(f"v{i}") if i == j else F.covar_pop(f"v{i}", f"v{j}")).alias(f"c{i}_{j}")
                 for i, j in pairs]
-    sums = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+    sums = values.groupBy(*inner).agg(F.count(F.lit(1)).alias("n"),
                                      *[F.avg(f"v{i}").alias(f"m{i}") for i in k], *products)
-    return sums.select(*keys, "n", F.array(*[f"m{i}" for i in k]).alias("means"),
+    return sums.select(*[F.col(i).alias(name) for i, name in zip(inner, result_keys(keys))], "n",
+                       F.array(*[f"m{i}" for i in k]).alias("means"),
                        F.array(*[F.col(f"c{i}_{j}") * F.col("n") for i, j in pairs]).alias("cross"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isotrend.functions.values import named, nan_to_null
 from isotrend.operators.joins import attach, left_join
 from isotrend.session import settle
 
@@ -31,12 +32,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     distinct values inside one, with their counts: under a thousandth of a large group.
     Those are counted into cells of equal numbers of values, and only the cell that holds
     the rank is put in order. The brackets and cells follow ranks, so no shape of
-    distribution and no number of ties defeats them.
+    distribution and no number of ties defeats them. Both ways are exact and give the same value;
+    NaN counts as missing in both.
     """
-    keys = list(keys) or ["__all"]
+    outer, keys = list(keys), [f"__key{i}" for i in range(len(keys))] or ["__key0"]
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    base = df if keys != ["__all"] else df.withColumn("__all", F.lit(0))
-    rows = base.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    # Keys and value have names of their own from here to the result.
+    rows = df.select(*[c.alias(k) for c, k in zip([named(k) for k in outer] or [F.lit(0)], keys)],
+                     nan_to_null(named(value).cast("double")).alias("v")).filter(F.col("v").isNotNull())
 
     brackets = settle(_brackets(rows, probs, keys))
     counted = attach(rows, brackets, keys)
@@ -64,10 +67,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
         .filter(F.col("v").between(F.col("line.low"), F.col("line.high"))) \
         .select(*keys, "line.which", "v", "c", "line.rank", "line.weight")
 
-    found = _at_rank(spread, [*keys, "which"])
+    found = at_rank(spread, [*keys, "which"])
     q = [F.max(F.when(F.col("which") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
-    kept = [k for k in keys if k != "__all"]
-    return found.groupBy(*keys).agg(*q).unionByName(few).select(*kept, *names)
+    whole = found.groupBy(*keys).agg(*q).unionByName(few)
+    return whole.select(*[F.col(k).alias(o) for k, o in zip(keys, outer)], *names)
 
 
 def _brackets(rows: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFrame:
@@ -85,7 +88,7 @@ def _brackets(rows: DataFrame, probs: Sequence[float], keys: list[str]) -> DataF
     return sketch.select(*keys, "n", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("brackets"))
 
 
-def _at_rank(spread: DataFrame, slots: list[str]) -> DataFrame:
+def at_rank(spread: DataFrame, slots: list[str]) -> DataFrame:
     """The interpolated value at ``rank`` of each slot, from distinct values ``v`` with counts ``c``."""
     shares = ", ".join(f"{i / CELLS}D" for i in range(1, CELLS))
     cuts = spread.groupBy(*slots).agg(F.expr(f"percentile_approx(v, array({shares}), {ACCURACY})").alias("cuts"))

@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isotrend.operators.joins import attach
-from isotrend.operators.linear import fit_moments, unpack_cross
-from isotrend.operators.moments import moment_matrix
+from isotrend.functions.values import named
+from isotrend.operators.joins import left_join
+from isotrend.operators.linear import fit_moments, scaled, solved, unpack_cross
+from isotrend.operators.moments import moment_matrix, quoted, result_keys
+from isotrend.operators.reshape import present
 
 COMPONENT = T.StructType([
     T.StructField("component", T.IntegerType()), T.StructField("n", T.LongType()),
@@ -26,21 +27,22 @@ COMPONENT = T.StructType([
     T.StructField("means", T.ArrayType(T.DoubleType())), T.StructField("sds", T.ArrayType(T.DoubleType()))])
 
 
-def components(n: int, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues, largest first, and loadings by column, of standardised variables.
+def components(n: np.ndarray, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, largest first, and loadings by column, of standardised variables; for a stack of groups.
 
     Variances divide by n while the scaling divides by n - 1, hence the factor (n - 1) / n.
     Each component is turned so that its first loading is not negative.
     """
-    spread = np.sqrt(np.diag(cross))
-    values, vectors = np.linalg.eigh(cross / np.outer(spread, spread))
-    values, vectors = values[::-1], vectors[:, ::-1]
-    vectors = vectors * np.where(vectors[0] < 0, -1.0, 1.0)
+    n = np.asarray(n, float)[..., None]
+    values, vectors = np.linalg.eigh(scaled(cross)[1])
+    values, vectors = values[..., ::-1], vectors[..., ::-1]
+    vectors = vectors * np.where(vectors[..., :1, :] < 0, -1.0, 1.0)
     return np.clip(values, 0.0, None) * (n - 1) / n, vectors
 
 
-def _usable(n: int, cross: np.ndarray) -> bool:
-    return n > 1 and bool((np.diag(cross) > 0).all())
+def _usable(n: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Places of the groups that have a standardised form: two rows at least, and no constant column."""
+    return np.flatnonzero((n > 1) & (np.diagonal(cross, axis1=1, axis2=2) > 0).all(axis=1))
 
 
 def pca(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -49,37 +51,31 @@ def pca(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Data
     Groups with a constant column have no standardised form and give no row.
     """
     keys, k = list(keys), len(columns)
-    moments = moment_matrix(df, columns, keys)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                cross = unpack_cross(row.cross, k) if row.n > 1 else np.zeros((k, k))
-                if not _usable(row.n, cross):
-                    continue
-                values, vectors = components(row.n, cross)
-                shares = values / values.sum()
-                scale = {"means": list(row.means), "sds": np.sqrt(np.diag(cross) / (row.n - 1)).tolist()}
-                out += [{**{key: getattr(row, key) for key in keys}, "component": i + 1, "n": row.n,
-                         "eigenvalue": values[i], "sdev": float(np.sqrt(values[i])), "share": shares[i],
-                         "cumulative": float(shares[:i + 1].sum()), "loadings": vectors[:, i].tolist(), **scale}
-                        for i in range(k)]
-            yield pd.DataFrame(out, columns=[*keys, *COMPONENT.names])
-
-    schema = T.StructType([moments.schema[key] for key in keys] + COMPONENT.fields)
-    return moments.mapInPandas(solve, schema)
+
+    def solve(n: np.ndarray, means: np.ndarray, cross: np.ndarray) -> Iterator[tuple[int, dict]]:
+        full = unpack_cross(cross, k)
+        at = _usable(n, full)
+        values, vectors = components(n[at], full[at])
+        shares = values / values.sum(axis=1, keepdims=True)
+        for g, i in enumerate(at):
+            scale = {"means": means[i].tolist(), "sds": np.sqrt(np.diag(full[i]) / (n[i] - 1)).tolist()}
+            for j in range(k):
+                yield i, {"component": j + 1, "n": n[i], "eigenvalue": values[g, j], "sdev": float(np.sqrt(values[g, j])),
+                          "share": shares[g, j], "cumulative": float(shares[g, :j + 1].sum()),
+                          "loadings": vectors[g, :, j].tolist(), **scale}
+
+    return solved(moment_matrix(df, columns, keys), len(keys), solve, COMPONENT)
 
 
 def scree(fit: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Eigenvalue, percent of variance and cumulative percent per component."""
-    return fit.select(*keys, "component", "eigenvalue", (F.col("share") * 100).alias("percent"),
+    return fit.select(*quoted(result_keys(keys)), "component", "eigenvalue", (F.col("share") * 100).alias("percent"),
                       (F.col("cumulative") * 100).alias("cumulative_percent"))
 
 
 def variable_map(fit: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Loading, coordinate (loading × deviation) and cos² of every variable on every component."""
-    names = F.array(*[F.lit(c) for c in columns])
+    names, keys = F.array(*[F.lit(c) for c in columns]), quoted(result_keys(keys))
     rows = fit.select(*keys, "component", "sdev", F.posexplode("loadings").alias("at", "loading"))
     coordinate = F.col("loading") * F.col("sdev")
     return rows.select(*keys, "component", F.get(names, F.col("at")).alias("variable"), "loading",
@@ -89,7 +85,7 @@ def variable_map(fit: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
 def cos2_total(variables: DataFrame, axes: Sequence[int] = (1, 2), keys: Sequence[str] = ()) -> DataFrame:
     """How well the chosen axes together represent each variable."""
     return variables.filter(F.col("component").isin(*axes)) \
-                    .groupBy(*keys, "variable").agg(F.sum("cos2").alias("cos2"))
+                    .groupBy(*quoted(result_keys(keys)), "variable").agg(F.sum("cos2").alias("cos2"))
 
 
 def scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -99,17 +95,18 @@ def scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> D
     """
     k, complete = len(columns), df
     for c in columns:
-        complete = complete.filter(F.col(c).isNotNull())
+        complete = complete.filter(present(c).isNotNull())
     by_axis = F.sort_array(F.collect_list(F.struct("component", "loadings")))
-    fit = pca(df, columns, keys).groupBy(*keys).agg(
-        F.struct(by_axis.alias("axes"), F.first("means").alias("means"), F.first("sds").alias("sds")).alias("fit"))
-    rows = attach(complete, fit, list(keys)) if keys else complete.withColumn("fit", fit.scalar())
-    z = [F.try_divide(F.col(c) - F.col("fit.means")[i], F.nullif(F.col("fit.sds")[i], F.lit(0.0)))
+    names = result_keys(keys)
+    fit = pca(df, columns, keys).groupBy(*quoted(names)).agg(
+        F.struct(by_axis.alias("axes"), F.first("means").alias("means"), F.first("sds").alias("sds")).alias("__fit"))
+    rows = left_join(complete, fit, dict(zip(keys, names))) if keys else complete.withColumn("__fit", fit.scalar())
+    z = [F.try_divide(named(c) - F.col("__fit.means")[i], F.nullif(F.col("__fit.sds")[i], F.lit(0.0)))
          for i, c in enumerate(columns)]
     rows = rows.withColumns({f"__z{i}": v for i, v in enumerate(z)})
-    dots = {f"score_{j + 1}": sum((F.col(f"__z{i}") * F.col("fit.axes")[j]["loadings"][i] for i in range(1, k)),
-                                  F.col("__z0") * F.col("fit.axes")[j]["loadings"][0]) for j in range(k)}
-    return rows.withColumns(dots).drop("fit", *[f"__z{i}" for i in range(k)])
+    dots = {f"score_{j + 1}": sum((F.col(f"__z{i}") * F.col("__fit.axes")[j]["loadings"][i] for i in range(1, k)),
+                                  F.col("__z0") * F.col("__fit.axes")[j]["loadings"][0]) for j in range(k)}
+    return rows.withColumns(dots).drop("__fit", *[f"__z{i}" for i in range(k)])
 
 
 def pcr(df: DataFrame, y: str, columns: Sequence[str], n_components: int | None = None,
@@ -123,21 +120,15 @@ def pcr(df: DataFrame, y: str, columns: Sequence[str], n_components: int | None
     used = k if n_components is None else n_components
     moments = moment_matrix(df, [y, *columns], keys)
 
-    def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                full = unpack_cross(row.cross, k + 1) if row.n > 1 else np.zeros((k + 1, k + 1))
-                if not _usable(row.n, full[1:, 1:]):
-                    continue
-                values, vectors = components(row.n, full[1:, 1:])
-                sd = np.sqrt(np.diag(full)[1:] / (row.n - 1))
-                turned = np.diag(np.concatenate([[full[0, 0]], values[:used] * row.n]))
-                turned[0, 1:] = turned[1:, 0] = (vectors.T @ (full[0, 1:] / sd))[:used]
-                out.append({**{key: getattr(row, key) for key in keys}, "n": row.n,
-                            "means": [row.means[0]] + [0.0] * used,
-                            "cross": turned[np.triu_indices(used + 1)].tolist()})
-            yield pd.DataFrame(out, columns=[*keys, "n", "means", "cross"])
-
-    turned = moments.mapInPandas(rotate, moments.schema)
+    def rotate(n: np.ndarray, means: np.ndarray, cross: np.ndarray) -> Iterator[tuple[int, dict]]:
+        full = unpack_cross(cross, k + 1)
+        at = _usable(n, full[:, 1:, 1:])
+        values, vectors = components(n[at], full[at][:, 1:, 1:])
+        for g, i in enumerate(at):
+            sd = np.sqrt(np.diag(full[i])[1:] / (n[i] - 1))
+            turned = np.diag(np.concatenate([[full[i, 0, 0]], values[g, :used] * n[i]]))
+            turned[0, 1:] = turned[1:, 0] = (vectors[g].T @ (full[i, 0, 1:] / sd))[:used]
+            yield i, {"n": n[i], "means": [means[i, 0]] + [0.0] * used, "cross": turned[np.triu_indices(used + 1)].tolist()}
+
+    turned = solved(moments, len(keys), rotate, T.StructType(moments.schema.fields[len(keys):]))
     return fit_moments(turned, [f"score_{i + 1}" for i in range(used)], keys)

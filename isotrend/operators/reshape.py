@@ -7,24 +7,49 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotrend.functions.values import as_col
+from isotrend.functions.values import as_col, nan_to_null
 from isotrend.operators.joins import attach
 
 
+def present(value: Column | str) -> Column:
+    """The value, missing where it is NaN: both mean that nothing was measured."""
+    return nan_to_null(as_col(value))
+
+
+def mean_of(value: Column | str) -> Column:
+    """Mean of the values that are there."""
+    return F.avg(present(value))
+
+
 def strict_mean(value: Column | str) -> Column:
     """Mean that is missing as soon as one value of the group is missing."""
-    value = as_col(value)
+    value = present(value)
     return F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
 
 
+def mean_parts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per key the sum, the present values and the rows, from which means of larger groups follow."""
+    return df.groupBy(*keys).agg(F.sum(present(value)).alias("__sum"), F.count(present(value)).alias("__present"), F.count(F.lit(1)).alias("__rows"))
+
+
+def means_of_parts() -> tuple[Column, Column]:
+    """Strict and lenient mean of a group from ``mean_parts`` joined to its members.
+
+    A member without rows counts as one row with a missing value, as it would in the join of all rows.
+    """
+    lenient = F.try_divide(F.sum("__sum"), F.nullif(F.sum("__present"), F.lit(0)))
+    whole = F.count_if(F.coalesce(F.col("__present") < F.col("__rows"), F.lit(True))) == 0
+    return F.when(whole, lenient), lenient
+
+
 def mean_where(value: Column | str, condition: Column) -> Column:
     """Mean over the rows that meet ``condition``, in the same pass as any other aggregate."""
-    return F.avg(F.when(condition, as_col(value)))
+    return F.avg(F.when(condition, present(value)))
 
 
 def value_at(value: Column | str, condition: Column) -> Column:
     """The group's value on the one row that meets ``condition``."""
-    return F.max(F.when(condition, as_col(value)))
+    return F.max(F.when(condition, present(value)))
 
 
 def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str] | None = None,
@@ -75,12 +100,35 @@ def describe_measures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def count_domain(df: DataFrame, label: Column, labels: Sequence[str], name: str = "label") -> DataFrame:
-    """Rows per label over the whole label domain, empty labels included, in label order."""
-    counts = df.groupBy(label.alias("found")).agg(F.count(F.lit(1)).alias("n"))
-    domain = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(labels, 1)],
-                                             f"ordinal int, {name} string")
-    return domain.join(counts, F.col(name) == F.col("found"), "left") \
-                 .select("ordinal", name, F.coalesce("n", F.lit(0)).alias("n"))
+    """Rows per label over the whole label domain, empty labels included, in label order.
+
+    The last row, without a label, counts the rows in no bin: missing or out of range. So the
+    counts always add up to the rows.
+    """
+    counts = [F.count_if(F.coalesce(F.col("__label") == x, F.lit(False))) for x in labels]
+    other = F.count_if(~F.coalesce(F.col("__label").isin(*labels), F.lit(False)))
+    lines = [F.struct(F.lit(i).alias("ordinal"), F.lit(x).cast("string").alias(name), n.alias("n"))
+             for i, (x, n) in enumerate(zip([*labels, None], [*counts, other]), 1)]
+    found = df.select(label.alias("__label"))
+    return found.agg(*[line.alias(f"__{i}") for i, line in enumerate(lines)]) \
+        .select(F.inline(F.array(*[f"__{i}" for i in range(len(lines))]))).orderBy("ordinal")
+
+
+def with_total_sums(df: DataFrame, keys: Sequence[str], within: str, sums: Mapping[str, Column],
+                    total: str = "All Months") -> DataFrame:
+    """Each ``within`` group and the total over all of them, for aggregates that are sums or counts.
+
+    Raw rows are aggregated once, to the parts; only the parts, a handful per group, are added up.
+    """
+    label = F.col(within).cast("string").alias(within)
+    parts = df.groupBy(*keys, label).agg(*[c.alias(n) for n, c in sums.items()])
+    whole = Window.partitionBy(*keys)
+    first = F.row_number().over(whole.orderBy(within)) == 1
+    own = F.struct(F.col(within), *sums)
+    merged = F.struct(F.lit(total).alias(within), *[F.sum(n).over(whole).alias(n) for n in sums])
+    rows = parts.select(*keys, own.alias("__own"), merged.alias("__all"), first.alias("__first"))
+    return rows.select(*keys, F.explode(F.when(F.col("__first"), F.array("__own", "__all")).otherwise(F.array("__own")))
+                       .alias("__row")).select(*keys, "__row.*")
 
 
 def with_total_group(df: DataFrame, keys: Sequence[str], within: str, aggregates: Sequence[Column],
@@ -100,7 +148,7 @@ def group_extremes(df: DataFrame, keys: Sequence[str], value: str, largest: bool
     over its partitions; ranking it would put the whole group into one task.
     """
     pick = F.max if largest else F.min
-    best = df.groupBy(*keys).agg(pick(value).alias("__best"))
+    best = df.groupBy(*keys).agg(pick(present(value)).alias("__best"))
     return attach(df, best, keys).filter(F.col(value) == F.col("__best")).drop("__best")
 
 

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotrend.operators.joins import attach
+from isotrend.operators.order_stats import at_rank
 from isotrend.session import settle
 
 POWERS = range(5)
-# Cells of the distance histogram of one grid place.
-CELLS = 1024
 
 
 def loess_curve(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), span: float = 0.75,
@@ -29,13 +28,13 @@ def loess_curve(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), span: f
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     merged = pairs.groupBy(*keys, F.col(x).cast("double").alias("__x")).agg(
         F.count(F.lit(1)).alias("__c"), F.avg(F.col(y)).alias("__y"))
-    ends = [F.min("__x").alias("low"), F.max("__x").alias("high"), F.sum("__c").alias("total")]
+    ends = [F.min("__x").alias("low"), F.max("__x").alias("high"), F.sum("__c").alias("__total")]
     # Keys, or one literal key, so that a single curve goes the same way as many.
     slots = keys or ["__all"]
     merged = settle(merged if keys else merged.withColumn("__all", F.lit(0)))
     ranged = attach(merged, merged.groupBy(*slots).agg(*ends), slots)
     width = F.col("high") - F.col("low")
-    placed = ranged.select(*slots, "__x", "__y", "__c", "low", "total", width.alias("width"),
+    placed = ranged.select(*slots, "__x", "__y", "__c", "low", "__total", width.alias("width"),
                            F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")) \
         .withColumn("x0", F.col("low") + F.col("width") * F.col("point") / (points - 1)) \
         .withColumn("__d", F.abs(F.col("__x") - F.col("x0")))
@@ -56,21 +55,13 @@ def loess_curve(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), span: f
 def _nth_distance(placed: DataFrame, place: list[str], span: float) -> DataFrame:
     """Distance of the q-th nearest observation of each grid place, equal x counted as often.
 
-    A histogram of at most ``CELLS`` counts finds the cell that holds it, and only the
-    distances of that cell are put in order.
+    Distances are counted into cells of equal numbers of values, and only the cell that holds the
+    q-th is put in order, so an outlying x crowds nothing.
     """
-    share = F.try_divide(F.col("__d"), F.nullif("width", F.lit(0.0)))
-    celled = placed.withColumn("cell", F.coalesce(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)), F.lit(0)))
-    q = F.floor(F.col("total") * F.lit(span) + 1e-5)
-    order = Window.partitionBy(*place).rowsBetween(Window.unboundedPreceding, 0)
-    histogram = celled.groupBy(*place, "cell").agg(F.sum("__c").alias("c"), F.first("total").alias("total"))
-    spots = histogram.withColumn("after", F.sum("c").over(order.orderBy("cell"))) \
-        .filter((F.col("after") >= q) & (F.col("after") - F.col("c") < q)) \
-        .select(*place, F.col("cell").alias("spot"), (q - F.col("after") + F.col("c")).alias("left"))
-    inside = attach(celled, spots, place).filter(F.col("cell") == F.col("spot"))
-    ordered = inside.groupBy(*place, "__d").agg(F.sum("__c").alias("c"), F.first("left").alias("left")) \
-        .withColumn("after", F.sum("c").over(order.orderBy("__d")))
-    return ordered.filter(F.col("after") >= F.col("left")).groupBy(*place).agg(F.min("__d").alias("reach"))
+    q = F.floor(F.col("__total") * F.lit(span) + 1e-5)
+    spread = placed.select(*place, F.col("__d").alias("v"), F.col("__c").alias("c"), (q - 1).alias("rank"),
+                           F.lit(0.0).alias("weight"))
+    return at_rank(spread, place).withColumnRenamed("q", "reach")
 
 
 def _centre_value() -> Column:

@@ -54,10 +54,11 @@ def trend_fit(df: DataFrame, x: Column | str, y: Column | str, keys: Sequence[st
 
 
 def standardised_slope(fit: DataFrame) -> DataFrame:
-    """Slopes after scaling y, or both x and y, to unit deviation: ratios of one fit's moments."""
+    """Slopes after scaling y, or both x and y, to unit deviation, and their standard errors: ratios of one fit's moments."""
     sd_x, sd_y = (F.sqrt(F.try_divide(F.col(s), F.nullif(F.col("n") - 1, F.lit(0)))) for s in ("sxx", "syy"))
-    return fit.withColumns({"slope_scaled_y": F.try_divide(F.col("slope"), F.nullif(sd_y, F.lit(0.0))),
-                            "slope_scaled": F.try_divide(F.col("slope") * sd_x, F.nullif(sd_y, F.lit(0.0)))})
+    sd_y = F.nullif(sd_y, F.lit(0.0))
+    return fit.withColumns({f"{c}_scaled{end}": F.try_divide(F.col(c) * factor, sd_y)
+                            for c in ("slope", "slope_se") for end, factor in (("_y", F.lit(1.0)), ("", sd_x))})
 
 
 def residual_summary(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:

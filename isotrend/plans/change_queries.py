@@ -13,10 +13,9 @@ from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, PARTIAL_YEAR, mon
 
 QUERIES, ORACLES, register = registrar()
 # Edges in the unit of the order prices, wide enough for single months.
-PRICE_BREAKS = (float("-inf"), -10000, -5000, 0, 5000, 10000, 15000, float("inf"))
-PRICE_LABELS = ("<= -10000", "-10000 to -5000", "-5000 to 0", "0 to 5000", "5000 to 10000",
-                "10000 to 15000", "> 15000")
-CHANGE_BREAKS = tuple(x * 1000 for x in (-20, -5, -4, -3, -2, -1, 0, 1, 2, 3, 4, 5, 20))
+PRICE_BREAKS = (float("-inf"), *range(-12000, 12001, 4000), float("inf"))
+PRICE_LABELS = ("below", *[f"{a} to {a + 4000}" for a in range(-12000, 12000, 4000)], "above")
+CHANGE_BREAKS = tuple(range(-21000, 21001, 3500))
 CHANGE_LABELS = tuple(f"{a} to {b}" for a, b in zip(CHANGE_BREAKS, CHANGE_BREAKS[1:]))
 
 
@@ -166,7 +165,7 @@ def climatology_anomaly_by_entity(spark: SparkSession, folder: str) -> DataFrame
                                                        F.col("c_mktsegment").alias("segment"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
                                                    month_of().alias("month"))
-    rows = change.climatology_anomaly(attach(orders, segments, "o_custkey", reduced=False), "month", "o_orderdate",
+    rows = change.climatology_anomaly(attach(orders, segments, "o_custkey"), "month", "o_orderdate",
                                       "o_totalprice", (1995, 1997), ["segment"])
     return rounded(rows.select("o_orderkey", "segment", "month", "anomaly"), ["anomaly"])
 
@@ -209,9 +208,9 @@ SELECT n_nationkey, n_name, n_regionkey, round(value, 6) AS value, {case_bins('v
  ('low', 'middle', 'high', 'top'), True)} AS category
 FROM nation LEFT JOIN (SELECT * FROM yearly WHERE year = 1998) y ON n_name = y.nation WHERE n_name <> 'NATION_13'""")
 def year_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    yearly = change.entity_year_mean(nation_orders(spark, folder), "nation", "o_orderdate", "o_totalprice")
+    orders = nation_orders(spark, folder).withColumnRenamed("o_totalprice", "value")
     areas = table(spark, folder, "nation").filter(F.col("n_name") != "NATION_13")
-    shown = change.year_snapshot(yearly, areas, "n_name", "nation", "year", "value", 1998,
+    shown = change.year_snapshot(orders, areas, "n_name", "nation", "o_orderdate", "value", 1998,
                                  ((0, 240000, 250000, 260000, 500000), ("low", "middle", "high", "top")))
     return rounded(shown, ["value"])
 

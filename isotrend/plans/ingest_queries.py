@@ -26,6 +26,18 @@ def tables_by_file(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(means, ["balance"])
 
 
+@register("station_files", """SELECT 'late' AS station, o_orderkey AS key, o_totalprice AS price, o_orderstatus AS status
+ FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'early', o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderstatus <> 'O'""")
+def station_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Two delimited tables with other columns in another order, read as one by column name."""
+    orders, path = table(spark, folder, "orders"), scratch_path(spark, "stations")
+    late, early = orders.filter("o_orderstatus = 'O'"), orders.filter("o_orderstatus <> 'O'")
+    write_table(late.selectExpr("o_orderkey AS key", "o_orderstatus AS status", "o_totalprice AS price"), f"{path}/late.csv", "csv")
+    write_table(early.selectExpr("o_totalprice AS price", "o_orderpriority AS `priority, as said`", "o_orderkey AS key"),
+                f"{path}/early.csv", "csv")
+    return read_keyed_files(spark, [f"{path}/late.csv", f"{path}/early.csv"], "key bigint, price double, status string", "station")
+
+
 def _untidy_lines(orders: DataFrame) -> DataFrame:
     """The orders as text lines with a preamble, a header, a sentinel, and footer notes."""
     stamp = F.date_format("o_orderdate", "yyyyMM")

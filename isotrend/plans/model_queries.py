@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotrend.operators import linear, pca
+from isotrend.operators.moments import result_keys
 from isotrend.plans.sql_text import f3_p_value, inverse3, t_p_value
 from isotrend.plans.tables import registrar, rounded, table
 
@@ -58,7 +59,7 @@ _OLS_COLUMNS = f"""CAST(position AS INTEGER) AS position, term, round(estimate,
 
 
 def _shown_terms(models: DataFrame, keys: list[str]) -> DataFrame:
-    shown = linear.coefficients(models, keys).select(*keys, "position", "term", "estimate", "std_error", "t", "p")
+    shown = linear.coefficients(models, keys).select(*result_keys(keys), "position", "term", "estimate", "std_error", "t", "p")
     return rounded(rounded(shown, ["estimate", "std_error", "t"], 5), ["p"], 6)
 
 
@@ -74,11 +75,27 @@ def ols_by_group(spark: SparkSession, folder: str) -> DataFrame:
     return _shown_terms(linear.ols(lines, "l_extendedprice", PREDICTORS, ["l_suppkey"]), ["l_suppkey"])
 
 
-@register("ols_standardised", f"{_OLS} SELECT term, round(std, 8) AS std_estimate FROM terms WHERE position > 0")
+_ODD = """odd AS (SELECT l_returnflag AS flag, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS price, l_quantity, l_discount, l_tax
+ FROM lineitem), whole AS (SELECT * FROM odd WHERE price IS NOT NULL)"""
+
+
+@register("ols_odd_names", f"""WITH {_ODD}, {_moments_sql('whole', 'price', PREDICTORS, 'flag')},
+{_terms_sql(PREDICTORS, 'flag')} SELECT flag, {_OLS_COLUMNS.replace(' term,', " replace(term, 'l_tax', 'Total.1') AS term,")} FROM terms""")
+def ols_odd_names(spark: SparkSession, folder: str) -> DataFrame:
+    """A key called ``n``, a predictor with a dot in its name, and NaN where a price is missing."""
+    price = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).otherwise(float("nan"))
+    lines = table(spark, folder, "lineitem").withColumn("my price", price) \
+        .withColumnsRenamed({"l_returnflag": "n", "l_tax": "Total.1"})
+    models = linear.ols(lines, "my price", [*PREDICTORS[:-1], "Total.1"], ["n"])
+    return _shown_terms(models, ["n"]).withColumnRenamed("n_key", "flag")
+
+
+@register("ols_standardised", f"""{_OLS} SELECT term, round(std, 8) AS std_estimate, round(std * se / estimate, 8) AS std_estimate_error
+FROM terms WHERE position > 0""")
 def ols_standardised(spark: SparkSession, folder: str) -> DataFrame:
     models = linear.ols(table(spark, folder, "lineitem"), "l_extendedprice", PREDICTORS)
-    return rounded(linear.coefficients(models).filter("position > 0").select("term", "std_estimate"),
-                   ["std_estimate"], 8)
+    return rounded(linear.coefficients(models).filter("position > 0").select("term", "std_estimate", "std_estimate_error"),
+                   ["std_estimate", "std_estimate_error"], 8)
 
 
 _F = "((sst - sse) / 3 / mse)"

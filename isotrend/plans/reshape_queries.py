@@ -16,7 +16,8 @@ from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, month_of, nation_
 QUERIES, ORACLES, register = registrar()
 BALANCE_BREAKS = (-1000, 0, 2000, 4000, 6000, 8000, 9000)
 BALANCE_LABELS = ("Below 0", "0-2000", "2000-4000", "4000-6000", "6000-8000", "8000-9000")
-YEARS = list(range(1995, 2002))
+# The years at both ends have no orders, so their columns are missing throughout.
+YEARS = list(range(1993, 2004))
 
 
 @register("column_choice", """SELECT o_custkey AS customer, o_orderstatus AS status, o_totalprice AS price,
@@ -78,7 +79,8 @@ def bin_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("bin_domain", f"""WITH d AS (SELECT unnest({list(BALANCE_LABELS)}) AS label, unnest(range(1, 7)) AS ordinal),
 c AS (SELECT {case_bins('c_acctbal', BALANCE_BREAKS, BALANCE_LABELS, True)} AS found, count(*) AS n FROM customer GROUP BY 1)
-SELECT CAST(ordinal AS INTEGER) AS ordinal, label, CAST(coalesce(n, 0) AS BIGINT) AS n FROM d LEFT JOIN c ON label = found""")
+SELECT CAST(ordinal AS INTEGER) AS ordinal, label, CAST(coalesce(n, 0) AS BIGINT) AS n FROM d LEFT JOIN c ON label = found
+UNION ALL SELECT 7, NULL, CAST(coalesce(sum(n), 0) AS BIGINT) FROM c WHERE found IS NULL""")
 def bin_domain(spark: SparkSession, folder: str) -> DataFrame:
     label = values.bin_label("c_acctbal", BALANCE_BREAKS, BALANCE_LABELS)
     return reshape.count_domain(table(spark, folder, "customer"), label, BALANCE_LABELS)
@@ -98,6 +100,27 @@ def rescale_squish(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(shown, ["share", "position"], 8)
 
 
+_DEGREES = "(c_acctbal / 3000 - 1)"
+_LEVEL = "(c_acctbal / 100)"
+_CUTS = values.rescale_points([b for b in values.LEVEL_BREAKS[1:-1]])
+
+
+@register("map_classes", f"""SELECT c_custkey, {case_bins(_DEGREES, values.FINE_CHANGE_BREAKS, values.FINE_CHANGE_LABELS, True)} AS fine_change,
+ {case_bins(_LEVEL, values.LEVEL_BREAKS, values.LEVEL_LABELS, True)} AS level,
+ {case_bins(f'least(greatest({_LEVEL}, 30), 75)', values.LEVEL_BREAKS, values.LEVEL_LABELS, True)} AS squished_level,
+ round({_CUTS[1]} * c_acctbal + {_CUTS[-2]}, 6) AS between_cuts FROM customer""")
+def map_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of a map: fine changes, levels, levels clamped to the limits, and rescaled cut points."""
+    degrees, level = F.col("c_acctbal") / 3000 - 1, F.col("c_acctbal") / 100
+    cuts = values.rescale_points(list(values.LEVEL_BREAKS[1:-1]))
+    shown = table(spark, folder, "customer").select(
+        "c_custkey", values.bin_label(degrees, values.FINE_CHANGE_BREAKS, values.FINE_CHANGE_LABELS).alias("fine_change"),
+        values.bin_label(level, values.LEVEL_BREAKS, values.LEVEL_LABELS).alias("level"),
+        values.bin_label(values.squish(level, 30, 75), values.LEVEL_BREAKS, values.LEVEL_LABELS).alias("squished_level"),
+        (cuts[1] * F.col("c_acctbal") + cuts[-2]).alias("between_cuts"))
+    return rounded(shown, ["between_cuts"])
+
+
 @register("label_text", f"""WITH {NATION_ORDERS}, m AS (SELECT nation,
  avg(CASE WHEN yr = 1996 THEN o_totalprice END) AS a, avg(CASE WHEN yr = 1999 AND nation <> 'NATION_4' THEN o_totalprice END) AS b
  FROM nation_orders GROUP BY nation)
@@ -177,24 +200,26 @@ def driver_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("area_attributes", f"""WITH {NATION_ORDERS}, a AS (SELECT nation, count(*) AS n, max(o_totalprice) AS top FROM nation_orders
- WHERE o_totalprice > 499000 GROUP BY nation)
+ GROUP BY nation)
 SELECT n_nationkey, n_name, n_regionkey, CAST(n AS BIGINT) AS n, top FROM nation LEFT JOIN a ON n_name = nation WHERE n_regionkey <> 2""")
 def area_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    dear = nation_orders(spark, folder).filter("o_totalprice > 499000").groupBy("nation").agg(
+    orders = nation_orders(spark, folder).groupBy("nation").agg(
         F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
-    return joins.area_attributes(table(spark, folder, "nation"), dear, {"n_name": "nation"},
+    return joins.area_attributes(table(spark, folder, "nation"), orders, {"n_name": "nation"},
                                  exclude=F.col("n_regionkey") == 2)
 
 
 @register("strict_mean_left_join", """WITH j AS (SELECT c_mktsegment AS segment, c_nationkey AS nation, o_totalprice
- FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey)
+ FROM customer LEFT JOIN orders ON c_custkey = o_custkey)
 SELECT segment, nation, round(CASE WHEN count(o_totalprice) = count(*) THEN avg(o_totalprice) END, 6) AS strict,
  round(avg(o_totalprice), 6) AS lenient FROM j GROUP BY ALL""")
 def strict_mean_left_join(spark: SparkSession, folder: str) -> DataFrame:
-    dear = table(spark, folder, "orders").filter("o_totalprice > 400000").select("o_custkey", "o_totalprice")
-    joined = joins.left_join(table(spark, folder, "customer"), dear, {"c_custkey": "o_custkey"})
+    # One row per customer before the join, so that a customer with many orders is no hot key.
+    parts = reshape.mean_parts(table(spark, folder, "orders"), ["o_custkey"], "o_totalprice")
+    joined = joins.left_join(table(spark, folder, "customer"), parts, {"c_custkey": "o_custkey"})
+    strict, lenient = reshape.means_of_parts()
     means = joined.groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).agg(
-        reshape.strict_mean("o_totalprice").alias("strict"), F.avg("o_totalprice").alias("lenient"))
+        strict.alias("strict"), lenient.alias("lenient"))
     return rounded(means, ["strict", "lenient"], 6)
 
 
@@ -225,32 +250,30 @@ SELECT nation, coalesce({MONTH_NAMES}[mon], 'All Months') AS month, CAST(count(*
 FROM nation_orders GROUP BY GROUPING SETS ((nation), (nation, mon))""")
 def monthly_totals(spark: SparkSession, folder: str) -> DataFrame:
     orders = nation_orders(spark, folder).withColumn("month", month_name(month_of()))
-    totals = reshape.with_total_group(orders, ["nation"], "month", [F.count(F.lit(1)).alias("n"),
-                                                                   F.sum("o_totalprice").alias("total")], ALL_MONTHS)
+    totals = reshape.with_total_sums(orders, ["nation"], "month", {"n": F.count(F.lit(1)), "total": F.sum("o_totalprice")},
+                                     ALL_MONTHS)
     return rounded(totals, ["total"], 2)
 
 
 def _pivoted(spark: SparkSession, folder: str) -> DataFrame:
-    orders = nation_orders(spark, folder).filter("o_totalprice > 450000").withColumn(
-        "stamp", year_of() * 100 + month_of())
-    means = orders.groupBy("nation", "stamp").agg(F.avg("o_totalprice").alias("value"))
-    return reshape.to_wide(means, "nation", "stamp", "value", [y * 100 + 1 for y in YEARS], "v")
+    means = nation_orders(spark, folder).groupBy("nation", year_of().alias("year")).agg(F.avg("o_totalprice").alias("value"))
+    return reshape.to_wide(means, "nation", "year", "value", YEARS, "v")
 
 
-_WIDE = f"""WITH {NATION_ORDERS}, m AS (SELECT nation, yr * 100 + mon AS stamp, avg(o_totalprice) AS value
- FROM nation_orders WHERE o_totalprice > 450000 GROUP BY ALL)"""
+_WIDE = f"""WITH {NATION_ORDERS}, m AS (SELECT nation, yr AS year, avg(o_totalprice) AS value
+ FROM nation_orders GROUP BY ALL)"""
 
 
-@register("pivot_years", f"""{_WIDE} SELECT nation, {', '.join(f"round(max(CASE WHEN stamp = {y}01 THEN value END), 6) AS v{y}01" for y in YEARS)}
+@register("pivot_years", f"""{_WIDE} SELECT nation, {', '.join(f"round(max(CASE WHEN year = {y} THEN value END), 6) AS v{y}" for y in YEARS)}
 FROM m GROUP BY nation""")
 def pivot_years(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(_pivoted(spark, folder), [f"v{y}01" for y in YEARS])
+    return rounded(_pivoted(spark, folder), [f"v{y}" for y in YEARS])
 
 
-@register("unpivot_keep_nulls", f"""{_WIDE}, years AS (SELECT unnest({[f"v{y}01" for y in YEARS]}) AS name, unnest({[y * 100 + 1 for y in YEARS]}) AS stamp),
+@register("unpivot_keep_nulls", f"""{_WIDE}, years AS (SELECT unnest({[f"v{y}" for y in YEARS]}) AS name, unnest({YEARS}) AS year),
 areas AS (SELECT DISTINCT nation FROM m)
 SELECT a.nation, y.name, round(m.value, 6) AS value FROM areas a CROSS JOIN years y
-LEFT JOIN m ON m.nation = a.nation AND m.stamp = y.stamp""")
+LEFT JOIN m ON m.nation = a.nation AND m.year = y.year""")
 def unpivot_keep_nulls(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(reshape.to_long(_pivoted(spark, folder), ["nation"]), ["value"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotrend.functions.calendar import month_name, not_in_years
-from isotrend.operators import trend
+from isotrend.operators import reshape, trend
 from isotrend.operators.change import entity_year_mean
 from isotrend.operators.smooth import loess_curve
 from isotrend.plans.sql_text import t_p_value, t_quantile_975
@@ -30,16 +30,32 @@ SELECT l_returnflag, CAST(n AS BIGINT) AS n, round(slope, 6) AS slope, round(int
  round(r2, 10) AS r2, round(sigma, 4) AS sigma, round(se, 6) AS slope_se, round(slope / se, 6) AS slope_t,
  round({t_p_value('(slope / se)', '(n - 2)')}, 6) AS slope_p,
  round(sigma * sqrt(1.0 / n + mean_x * mean_x / sxx), 6) AS intercept_se,
- round(slope * sqrt(sxx / syy), 8) AS slope_scaled, round(1 - (1 - r2) * (n - 1) / (n - 2), 10) AS adj_r2
+ round(slope * sqrt(sxx / syy), 8) AS slope_scaled, round(se * sqrt(sxx / syy), 10) AS slope_se_scaled,
+ round(slope / sqrt(syy / (n - 1)), 10) AS slope_scaled_y, round(se / sqrt(syy / (n - 1)), 10) AS slope_se_scaled_y, round(1 - (1 - r2) * (n - 1) / (n - 2), 10) AS adj_r2
 FROM e""")
 def trend_simple(spark: SparkSession, folder: str) -> DataFrame:
     fit = trend.standardised_slope(trend.trend_fit(table(spark, folder, "lineitem"), "l_quantity",
                                                    "l_extendedprice", ["l_returnflag"]))
     shown = fit.select("l_returnflag", "n", "slope", "intercept", "r2", "sigma", "slope_se", "slope_t", "slope_p",
-                       "intercept_se", "slope_scaled", "adj_r2")
+                       "intercept_se", "slope_scaled", "slope_se_scaled", "slope_scaled_y", "slope_se_scaled_y", "adj_r2")
     shown = rounded(shown, ["slope", "slope_se", "slope_t", "slope_p", "intercept_se"], 6)
     shown = rounded(rounded(shown, ["intercept", "sigma"], 4), ["slope_scaled"], 8)
-    return rounded(shown, ["r2", "adj_r2"], 10)
+    return rounded(shown, ["r2", "adj_r2", "slope_se_scaled", "slope_scaled_y", "slope_se_scaled_y"], 10)
+
+
+@register("trend_with_nan", f"""WITH m AS (SELECT l_returnflag, {_LINE.format(y='l_extendedprice', x='l_quantity')},
+ avg(l_extendedprice) AS mean, max(l_extendedprice) AS top FROM lineitem WHERE l_linenumber <> 2 GROUP BY l_returnflag)
+SELECT l_returnflag, CAST(n AS BIGINT) AS n, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(mean, 6) AS mean,
+ top FROM m""")
+def trend_with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """NaN counts as missing in a fit, a mean and a maximum."""
+    price = F.when(F.col("l_linenumber") == 2, float("nan")).otherwise(F.col("l_extendedprice"))
+    lines = table(spark, folder, "lineitem").withColumn("l_extendedprice", price)
+    fit = trend.trend_fit(lines, "l_quantity", "l_extendedprice", ["l_returnflag"])
+    means = lines.groupBy("l_returnflag").agg(reshape.mean_of("l_extendedprice").alias("mean"),
+                                              reshape.value_at("l_extendedprice", F.lit(True)).alias("top"))
+    shown = fit.join(means, "l_returnflag").select("l_returnflag", "n", "slope", "intercept", "mean", "top")
+    return rounded(rounded(shown, ["slope", "mean"], 6), ["intercept"], 4)
 
 
 @register("residual_summary", f"""WITH m AS (

@@ -6,14 +6,17 @@ their mark, and headers and footers by a key that does not look like a key.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isotrend.functions.values import nan_to_null, sentinel_to_null
+from isotrend.functions.values import named, nan_to_null, sentinel_to_null
 
 YEAR = r"^\s*[0-9]{4}\s*$"
 YEAR_MONTH = r"^\s*[0-9]{6}\s*$"
@@ -44,11 +47,16 @@ def header_names(spark: SparkSession, path: str, first: str, sep: str = ",") ->
     line = spark.read.text(path).filter(F.col("value").rlike(start)).first()
     if line is None:
         raise ValueError(f"no header line starting with {first!r} in {path}")
-    return repair_names([part.strip().strip('"') for part in line["value"].split(sep)])
+    return repair_names(split_header(line["value"], sep))
 
 
-def _typed(name: str, to: T.DataType) -> Column:
-    text = F.trim(F.col(name))
+def split_header(line: str, sep: str = ",") -> list[str]:
+    """The cells of a header line; a separator inside quotes belongs to its cell."""
+    return [cell.strip() for cell in next(csv.reader([line], delimiter=sep))]
+
+
+def _typed(text: Column, to: T.DataType) -> Column:
+    text = F.trim(text)
     value = text if isinstance(to, T.StringType) else text.try_cast(to)
     return nan_to_null(value) if isinstance(to, (T.DoubleType, T.FloatType)) else value
 
@@ -72,25 +80,62 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
         reader = reader.option("comment", comment)
     rows = reader.csv(path if isinstance(path, str) else list(path))
     if key is not None:
-        rows = rows.filter(F.col(f"`{key}`").rlike(key_pattern or YEAR))
-    typed = rows.select(*[_typed(f"`{f.name}`", f.dataType).alias(f.name) for f in schema])
-    codes = {c: sentinel_to_null(F.col(c), *values) for c, values in (sentinels or {}).items()}
+        rows = rows.filter(named(key).rlike(key_pattern or YEAR))
+    typed = rows.select(*[_typed(named(f.name), f.dataType).alias(f.name) for f in schema])
+    codes = {c: sentinel_to_null(named(c), *values) for c, values in (sentinels or {}).items()}
     return typed.withColumns(codes) if codes else typed
 
 
-def file_key(pattern: str = r"\.[^.]*$") -> Column:
-    """The name of the file a row came from, without its extension."""
-    return F.regexp_replace(F.col("_metadata.file_name"), pattern, "")
+def file_key(extension: str) -> Column:
+    """Name of the table a row came from: the first file or folder of its path with the extension, without it.
+
+    So the parts of a table that is a folder share the folder's name.
+    """
+    return F.regexp_extract(F.col("_metadata.file_path"), rf"^.*?/([^/]+)\.{re.escape(extension)}(?:[./].*)?$", 1)
+
+
+def file_layouts(spark: SparkSession, path: str | Sequence[str], required: str, sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """The distinct headers among many files, each with its files.
+
+    A header is the line that has a cell equal to ``required``. Only the header lines and file names
+    reach the driver, which lists the files anyway. The lines of all files are looked at once.
+    """
+    quoted = re.escape(required)
+    edge, end = rf'(^|{re.escape(sep)})\s*"?', rf'"?\s*($|{re.escape(sep)})'
+    lines = spark.read.text(path if isinstance(path, str) else list(path)) \
+        .select("value", F.col("_metadata.file_path").alias("file")).filter(F.col("value").rlike(f"{edge}{quoted}{end}"))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min("value").alias("value")).orderBy("file").collect():
+        layouts.setdefault(tuple(split_header(row["value"], sep)), []).append(unquote(row["file"]))
+    return layouts
 
 
 def read_keyed_files(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str,
                      key: str = "state", fmt: str = "csv", **options: str) -> DataFrame:
-    """All files of a folder as one table, the file name as a key column: one job, no loop."""
-    reader = spark.read.format(fmt).schema(schema).options(**options)
-    if fmt == "csv":
-        reader = reader.option("header", options.get("header", "true"))
-    rows = reader.load(path if isinstance(path, str) else list(path))
-    return rows.withColumn(key, file_key())
+    """All files of a folder as one table, the name of file or table as a key column.
+
+    Columns go by name: files may hold them in any order and beside others, and a column that a
+    file lacks is missing for its rows. For delimited text the files are grouped by header
+    (``file_layouts``), one plan per distinct header and not per file. The key column of the
+    schema, its first, marks the header line and the rows: lines without a value there are dropped.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if fmt != "csv":
+        rows = spark.read.format(fmt).schema(schema).options(**options).load(path if isinstance(path, str) else list(path))
+        return rows.withColumn(key, file_key(fmt))
+    sep, first = options.get("sep", ","), schema[0].name
+    parts = []
+    for header, files in file_layouts(spark, path, first, sep).items():
+        at = {name: i for i, name in reversed(list(enumerate(header)))}
+        as_text = T.StructType([T.StructField(f"__{i}", T.StringType()) for i in range(len(header))])
+        rows = spark.read.schema(as_text).options(**{"nullValue": "NA", **options, "header": "false"}).csv(files)
+        cells = {f.name: F.col(f"__{at[f.name]}") if f.name in at else F.lit(None).cast("string") for f in schema}
+        typed = rows.filter(cells[first] != first).select(
+            *[_typed(cells[f.name], f.dataType).alias(f.name) for f in schema], file_key("csv").alias(key))
+        parts.append(typed)
+    if not parts:
+        raise ValueError(f"no header with a cell {first!r} in {path}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def drop_row_number(df: DataFrame) -> DataFrame:

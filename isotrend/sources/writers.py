@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
                 mode: str = "errorifexists") -> str:
-    """Write a table once for later readers; partition a long table by year to serve one year."""
+    """Write a table once for later readers; partition a long table by year to serve one year.
+
+    Rows are first gathered by the partition columns, so a partition gets few files however many
+    tasks made its rows; adaptive execution cuts a large partition into several of its advised size.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", "true")

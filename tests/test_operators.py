@@ -27,27 +27,22 @@ def test_left_join_with_own_aggregate(spark):
         ("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", 5.0, 5.0)]
 
 
-@pytest.mark.parametrize("way", ["estimate", "counted", "hot"])
-def test_attach_ways_agree(spark, monkeypatch, way):
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_attach_shuffled_or_broadcast(spark, threshold):
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 100 != 1, F.col("id") % 500).alias("k"),
         F.col("id").alias("v"))
     lookup = df.groupBy("k").agg(F.max("v").alias("top"))
-    expected = rows(joins.left_join(df, lookup, "k"), "v")
-    if way != "estimate":
-        monkeypatch.setattr(joins, "_small_join", lambda *_: False)
-    got = joins.attach(df, lookup, "k", broadcast_rows=10**6 if way == "counted" else 3)
-    assert rows(got, "v") == expected and len(expected) == 3000
-    assert any(r[0] is None for r in expected)
-
-
-def test_hot_lookup_is_broadcast_and_rest_is_not(spark, monkeypatch):
-    monkeypatch.setattr(joins, "_small_join", lambda *_: False)
-    df = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
-    got = joins.attach(df, df.groupBy("k").agg(F.count("*").alias("n")), "k", reduced=False)
-    assert got.count() == 2000
-    keys = [r.k for r in joins.hot_keys(df, ["k"], 0.01).collect()]
-    assert 1 in keys and len(keys) <= 100
+    top = {}
+    for k, v in rows(df):
+        top[k] = max(v, top.get(k, v))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = rows(joins.attach(df, lookup, "k"), "v")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 3000 and all(r[2] == top[r[0]] for r in got) and None in top
 
 
 def test_join_drivers_and_area_attributes(spark):
