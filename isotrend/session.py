@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,39 +21,52 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Recording the Python call site of every expression doubles the time to build a plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-}
-# Beyond one machine: enough initial reduce partitions for adaptive execution to merge from,
-# and scan splits that keep the number of tasks on a 100 TB table in the hundreds of thousands.
-CLUSTER_SETTINGS = {
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
-    "spark.sql.files.maxPartitionBytes": "512m",
+    # A checkpoint goes when nothing refers to it any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+# Beyond one machine: scan splits that keep the number of tasks on a 100 TB table in the hundreds of
+# thousands, and reduce partitions of about half a gigabyte before adaptive execution merges small ones.
+CLUSTER_SETTINGS = {"spark.sql.files.maxPartitionBytes": "512m"}
+REDUCE_BYTES = 512 << 20
+
 
+def build_session(app: str = "isotrend", master: str | None = None, input_bytes: int = 8 << 40, **conf: str) -> SparkSession:
+    """A session with the settings the plans expect; ``conf`` overrides by underscore name.
 
-def build_session(app: str = "isotrend", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the plans expect; ``conf`` overrides by underscore name."""
+    ``input_bytes`` is about what the largest shuffle moves; on a cluster it sets the number of
+    reduce partitions to begin with, 200,000 for 100 TB.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     local = (master or "").startswith("local")
-    for key, value in (SETTINGS if local else {**SETTINGS, **CLUSTER_SETTINGS}).items():
+    partitions = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, input_bytes // REDUCE_BYTES))}
+    for key, value in (SETTINGS if local else {**SETTINGS, **CLUSTER_SETTINGS, **partitions}).items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="isotrend-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a local session may fall back to a temporary folder of this machine.
+    Only a local session may fall back to a temporary folder of this machine, one per process, which
+    goes when the process ends. In the shared folder a job's files stay for the job that reads them;
+    the folder belongs to the cluster, which empties it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="isotrend-")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

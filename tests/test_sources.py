@@ -110,6 +110,20 @@ def test_partitioned_output_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nothing_is_left_of_a_local_session(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = ("from isotrend import session\nfolder = session._own_folder()\nassert session._own_folder() == folder\n"
+            "open(folder + '/part', 'w').close()\nprint('PATH', folder)\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "TMPDIR": str(tmp_path), "PYTHONPATH": root}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=120).stdout
+    folder = out.split("PATH ")[1].strip()
+    assert folder.startswith(str(tmp_path)) and not os.path.exists(folder)
+
+
 def test_scratch_path_uses_the_shared_folder(spark):
     from isotrend.session import scratch_path
 
