@@ -93,7 +93,7 @@ def test_total_beside_groups(spark):
 
 def test_domain_keeps_empty_bins(spark):
     df = spark.createDataFrame([("x",), ("x",), (None,)], "c string")
-    assert rows(reshape.count_domain(df, F.col("c"), ["w", "x"]), "ordinal") == [(1, "w", 0), (2, "x", 2)]
+    assert rows(reshape.count_domain(df, F.col("c"), ["w", "x"]), "ordinal") == [(1, "w", 0), (2, "x", 2), (3, None, 1)]
 
 
 def test_stack_fills_missing_columns(spark):
