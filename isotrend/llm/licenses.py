@@ -87,32 +87,42 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: M
     Missing and empty texts and those of under five words hold nothing, and such notices are left out. Rows that repeat id and text
     give one answer. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     bands = bands_for(containment, missed)
-    named = spark.createDataFrame(list(notices.items()), "notice string, body string")
+    named = docs.sparkSession.range(1).select(F.explode(F.create_map(*[F.lit(x) for pair in notices.items() for x in pair]))
+                                              .alias("notice", "body"))
     # A handful of rows that only the parameters determine.
     templates = shingled(named, "body", "notice").toDF("notice", "shingles") \
         .select("notice", F.array_distinct("shingles").alias("shingles")) \
-        .select("notice", "shingles", _minima("shingles", bands).alias("minima")).filter(F.size("shingles") > 0).collect()
+        .select("notice", "shingles", _minima("shingles", bands).alias("minima")).filter(F.size("shingles") > 0) \
+        .orderBy("notice").collect()
     if not templates:
         raise ValueError("no notice has five words")
+    known = F.array(*[F.struct(F.lit(t.notice).alias("notice"), F.lit(window_sizes(len(t.shingles))[0]).alias("length"),
+                               _constants(t.shingles).alias("shingles"), _constants(t.minima).alias("minima")) for t in templates])
+    wanted = _constants(sorted({m ^ salt(b) for t in templates for b, m in enumerate(t.minima)}))
+    sizes = F.array(*[F.struct(F.lit(length).alias("length"), F.lit(step).alias("step"))
+                      for length, step in sorted({window_sizes(len(t.shingles)) for t in templates})])
     rows = shingled(docs, text, doc_id, F.xxhash64(text)).toDF("doc_id", "text_key", "shingles")
-    held = rows.filter(F.arrays_overlap("shingles", _constants(_wanted(templates))))
-    sizes = sorted({window_sizes(len(t.shingles)) for t in templates})
-    cut = [_windows(length, step, [t for t in templates if window_sizes(len(t.shingles)) == (length, step)])
-           for length, step in sizes]
-    windows = held.select("doc_id", "text_key", F.explode(F.concat(*cut)).alias("w")).select("doc_id", "text_key", "w.*")
+    held = rows.filter(F.arrays_overlap("shingles", wanted))
+
+    def cut(size: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - 1, F.lit(0)), size["step"])
+        all_windows = F.transform(starts, lambda at: F.struct(size["length"].alias("length"), at.alias("start"),
+                                                              F.slice("shingles", at + 1, size["length"]).alias("held")))
+        return F.filter(all_windows, lambda w: F.arrays_overlap(w["held"], wanted))
+
+    windows = held.select("doc_id", "text_key", F.explode(F.flatten(F.transform(sizes, cut))).alias("w")) \
+        .select("doc_id", "text_key", "w.*")
     signatures = windows.select("*", once(_minima("held", bands)).alias("minima"))
 
-    def retrieved(t) -> Column:
-        alike = F.exists(F.zip_with("minima", _constants(t.minima), lambda a, b: a == b), lambda same: same)
-        return (F.col("length") == window_sizes(len(t.shingles))[0]) & alike
+    def retrieved(t: Column) -> Column:
+        alike = F.exists(F.zip_with("minima", t["minima"], lambda a, b: a == b), lambda same: same)
+        return (t["length"] == F.col("length")) & alike
 
     # The exact share is worked out only where a band has retrieved the template.
-    hits = [F.when(retrieved(t), F.struct(F.lit(t.notice).alias("notice"), (F.size(F.array_intersect(
-        "held", _constants(t.shingles))) / F.lit(len(t.shingles))).alias("containment"))) for t in templates]
-    found = signatures.select("doc_id", "text_key", "start", F.size("held").alias("n_shingles"),
-                              F.explode(F.array_compact(F.array(*hits))).alias("hit")) \
+    hits = F.transform(F.filter(known, retrieved), lambda t: F.struct(t["notice"].alias("notice"), (F.size(
+        F.array_intersect(F.col("held"), t["shingles"])) / F.size(t["shingles"])).alias("containment")))
+    found = signatures.select("doc_id", "text_key", "start", F.size("held").alias("n_shingles"), F.explode(hits).alias("hit")) \
         .filter(F.col("hit.containment") >= containment)
     best = found.groupBy("doc_id", "text_key", "hit.notice").agg(
         F.max(F.struct("hit.containment", (-F.col("start")).alias("back"), "n_shingles")).alias("best"))
@@ -128,16 +138,3 @@ def _minima(hashes: str, bands: int) -> Column:
 
 def _constants(hashes: list[int]) -> Column:
     return F.array(*[F.lit(h) for h in hashes])
-
-
-def _wanted(templates: list) -> list[int]:
-    """Every shingle that is the minimum of a template in some band."""
-    return sorted({m ^ salt(b) for t in templates for b, m in enumerate(t.minima)})
-
-
-def _windows(length: int, step: int, templates: list) -> Column:
-    """Overlapping windows of one size that hold a minimum of one of the templates of that size."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - 1, F.lit(0)), F.lit(step))
-    cut = F.transform(starts, lambda at: F.struct(F.lit(length).alias("length"), at.alias("start"),
-                                                  F.slice("shingles", at + 1, length).alias("held")))
-    return F.filter(cut, lambda w: F.arrays_overlap(w["held"], _constants(_wanted(templates))))
