@@ -143,7 +143,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tiers: tup
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 pieces = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     pieces.extend(packer.add(doc, np.append(ids, np.uint32(end_id))))
                 yield frame(pieces, kind)
         if kind is not None:

@@ -51,7 +51,7 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 piece = batch.slice(at, TEXTS)
-                arrays = [np.append(ids, np.uint32(end_id)) for ids in encoder.encode(piece.column(1).to_pylist())]
+                arrays = [np.append(ids, np.uint32(end_id)) for ids in encoder.encode(piece.column(1))]
                 sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype(np.int32)))
