@@ -44,9 +44,20 @@ def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Col
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def keep_rows(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id and ``text_key`` are among ``chosen``, all columns unchanged."""
-    keyed = docs.withColumn("__text_key", F.xxhash64(text))
-    chosen = chosen.select(F.col(doc_id).alias("__chosen_id"), F.col("text_key").alias("__chosen_key"))
-    on = same(keyed, chosen, [(doc_id, "__chosen_id"), ("__text_key", "__chosen_key")])
-    return keyed.join(chosen, on, "left_semi").drop("__text_key")
+def keep_rows(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text", once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose id and ``text_key`` are among ``chosen``, all columns unchanged.
+
+    With ``once``, of rows that repeat both id and text one stays. Rows meet by one hash of id and
+    text, so the texts shuffle once for both.
+    """
+    keyed = docs.withColumns({"__text_key": F.xxhash64(text), "__row_key": F.xxhash64(doc_id, F.xxhash64(text))})
+    chosen = chosen.select(F.col(doc_id).alias("__chosen_id"), F.col("text_key").alias("__chosen_key"),
+                           F.xxhash64(doc_id, "text_key").alias("__chosen_row"))
+    # Only the hash is a join key; ids and text keys are compared on top, so that rows stay dealt by the hash.
+    same_text = keyed["__text_key"] == chosen["__chosen_key"]
+    alike = F.coalesce((keyed[doc_id] == chosen["__chosen_id"]) & same_text,
+                       keyed[doc_id].isNull() & chosen["__chosen_id"].isNull() & same_text)
+    kept = keyed.join(chosen, (keyed["__row_key"] == chosen["__chosen_row"]) & alike, "left_semi")
+    if once:
+        kept = kept.dropDuplicates(["__row_key", doc_id, text])
+    return kept.drop("__text_key", "__row_key")

@@ -60,4 +60,4 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Of rows that repeat both id and text one stays.
     """
     kept = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias(doc_id), "text_key")
-    return keep_rows(docs, kept, doc_id, text).dropDuplicates([doc_id, text])
+    return keep_rows(docs, kept, doc_id, text, once=True)

@@ -250,4 +250,4 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Of rows that repeat both id and text one stays.
     """
     kept = near_groups(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return keep_rows(docs, kept.select(F.col("doc_id").alias(doc_id), "text_key"), doc_id, text).dropDuplicates([doc_id, text])
+    return keep_rows(docs, kept.select(F.col("doc_id").alias(doc_id), "text_key"), doc_id, text, once=True)
