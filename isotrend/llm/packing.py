@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotrend.llm.tokens import Encoder, shipped
+from isotrend.llm.tokens import shipped, worker_encoder
 
 TIERS = (256, 512, 1024, 2048)
 # Tokens of one training step: every step group holds windows of one size and as many tokens.
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tiers: tup
     names = [part.strip().split(" ")[0] for part in SCHEMA.split(",")]
 
     def run(batches):
-        encoder = Encoder(content.value)
+        encoder = worker_encoder(content.value)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 40)
 
         def frame(pieces, kind):

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isotrend.llm.tokens import Encoder, shipped
+from isotrend.llm.tokens import shipped, worker_encoder
 
 END = 0
 TEXTS = 256
@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder, first, part = Encoder(content.value), 0, TaskContext.get().partitionId()
+        encoder, first, part = worker_encoder(content.value), 0, TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 piece = batch.slice(at, TEXTS)

@@ -74,6 +74,19 @@ def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([edges[:-1][edges[:-1] < edges[1:]], spaces[fit], marks[LETTER[before] | accented]]))
 
 
+def worker_encoder(content: str) -> Encoder:
+    """The encoder of this Python worker, which serves the worker's tasks one after the other.
+
+    It hangs on the library's module, the one thing that lives as long as the worker.
+    """
+    import tokenizers
+
+    kept = getattr(tokenizers, "_kept_encoder", None)
+    if kept is None or kept.content != content:
+        kept = tokenizers._kept_encoder = Encoder(content)
+    return kept
+
+
 class Encoder:
     """Ids of texts, equal to the library's own for the whole text.
 
@@ -88,6 +101,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.content = content
         self.tokenizer = Tokenizer.from_str(content)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
