@@ -8,10 +8,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isotrend.llm.license_texts import STANDARD, WHOLE
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 MISSED = 1e-4
-# Well-known notices, by name.
+# Short lines and parts of grants, whole licenses and standard notices, by name.
 NOTICES = {
     "MIT notice": "Released under the MIT License.",
     "CC BY-NC 4.0 notice": "Licensed under CC BY-NC 4.0.",
@@ -27,6 +29,7 @@ NOTICES = {
                         "License at http://www.apache.org/licenses/LICENSE-2.0",
     "GPL grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                  "General Public License as published by the Free Software Foundation",
+    **WHOLE, **STANDARD,
 }
 
 
@@ -137,4 +140,5 @@ def _minima(hashes: str, bands: int) -> Column:
 
 
 def _constants(hashes: list[int]) -> Column:
-    return F.array(*[F.lit(h) for h in hashes])
+    """An array as one literal, which the planner folds: whole licenses have tens of thousands of hashes."""
+    return F.split(F.lit(",".join(map(str, hashes))), ",").cast("array<bigint>")

@@ -69,3 +69,24 @@ def test_odd(odd, odd_rows, nothing, all_missing):
     assert licenses.scan(nothing).count() == 0 and licenses.scan(all_missing).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(odd, notices={"short": "two words"})
+
+
+FAMILIES = ["MIT", "BSD 3-Clause", "ISC", "zlib", "Unlicense", "Apache 2.0", "CC0 1.0", "GPL 2", "GPL 3", "LGPL 2.1", "MPL 2.0",
+            "LGPL 3 header", "AGPL 3 header", "MPL 2.0 header", "CC BY 4.0 header", "CC BY-SA 4.0 header"]
+
+
+def test_damaged_whole_licenses(spark):
+    rows = []
+    for i, name in enumerate(FAMILIES):
+        words = licenses.NOTICES[name].split()
+        # One word of sixty changed: about a twelfth of the shingles, and none of the short templates'.
+        for at in range(37, len(words), 60):
+            words[at] = "changed"
+        rows.append((i, f"{'filler words here ' * (7 * i)}{' '.join(words)} {'tail words here ' * i}"))
+        # Half of a template is not the template.
+        rows.append((100 + i, " ".join(licenses.NOTICES[name].split()[:len(words) // 2])))
+    got = result(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert got == brute(rows)
+    found = {r[:2] for r in got}
+    for i, name in enumerate(FAMILIES):
+        assert (i, name) in found and (100 + i, name) not in found
