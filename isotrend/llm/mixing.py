@@ -15,6 +15,8 @@ WEIGHTS = (1, 2, 3)
 SEED = 17
 # Documents that one flight takes; each leaves at most two undecided.
 BLOCK = 8192
+# What equal rows share.
+UNIT = ["source", "doc_id", "text_key"]
 EDGE = 1e-9
 
 
@@ -97,7 +99,7 @@ def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
            block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Row sizes, targets of the sources, and ``source, doc_id, copies`` for every document.
+    """Row sizes, targets of the sources, and ``source, doc_id, text_key, place, copies`` for every document.
 
     A document is taken floor(r) times, r being its source's target over its size, and once more
     with probability r - floor(r). These extra picks are balanced: flights over blocks of documents
@@ -105,19 +107,21 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     fly again with those of other blocks, and only the last two of a source land. Blocks follow a
     hash of the id and draws a hash of id and seed, so reruns agree, and a hot source has many blocks.
 
-    Rows that repeat an id within a source are one document and are taken together; so are rows
-    without id. Documents without words have size 0 and change nothing. A missing source is a
+    Every row is a document of its own, also without id or with a repeated one: the id, a hash of the
+    text and a place among the rows equal in both tell it from others. Documents without words have size 0 and change nothing. A missing source is a
     source, the last. An empty table gives empty results.
     """
-    rows = settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                              F.regexp_count(whole_text(text), F.lit(WORD)).cast("long").alias("size")))
-    units = rows.groupBy("source", "doc_id").agg(F.sum("size").alias("size"))
-    targets = settle(source_targets(units))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("text_key"),
+                        F.regexp_count(whole_text(text), F.lit(WORD)).cast("long").alias("size"))
+    # Only rows equal in source, id and text meet here; any order tells them apart.
+    equal = Window.partitionBy(*UNIT).orderBy("size")
+    rows = settle(sized.withColumn("place", F.row_number().over(equal)))
+    targets = settle(source_targets(rows))
     rates = targets.select(F.col("source").alias("__source"), "units", F.coalesce(
         F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
-    luck = F.shiftrightunsigned(F.xxhash64("doc_id", "source", F.lit(seed)), 11) / float(1 << 53)
-    drawn = units.join(rates, units["source"].eqNullSafe(rates["__source"])).select(
-        "source", "doc_id", "size", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"),
+    luck = F.shiftrightunsigned(F.xxhash64("doc_id", "source", "text_key", "place", F.lit(seed)), 11) / float(1 << 53)
+    drawn = rows.join(rates, rows["source"].eqNullSafe(rates["__source"])).select(
+        *UNIT, "place", "size", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"),
         luck.alias("luck"), F.ceil(F.col("units") / block).alias("blocks"))
     drawn = settle(drawn)
     schema = drawn.schema
@@ -125,7 +129,7 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
     def decide(last: bool):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["luck", "doc_id", "size"], kind="stable")
+            frame = frame.sort_values(["luck", "doc_id", "size", "text_key", "place"], kind="stable")
             size = frame["size"].to_numpy(np.float64)
             p = flight(frame["p"].to_numpy(np.float64), size, frame["luck"].to_numpy(np.float64))
             frame["p"] = land(p, size) if last else p
@@ -135,23 +139,23 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     undecided = (F.col("p") > EDGE) & (F.col("p") < 1 - EDGE)
     done, state = drawn.filter(~undecided), drawn.filter(undecided)
     while True:
-        group = [F.col("source"), F.pmod(F.xxhash64("doc_id", F.lit(seed + most)), F.col("blocks"))]
+        group = [F.col("source"), F.pmod(F.xxhash64("doc_id", "text_key", "place", F.lit(seed + most)), F.col("blocks"))]
         state = settle(state.groupBy(*group).applyInPandas(decide(most == 1), schema))
         if most == 1:
             break
         done = done.unionByName(state.filter(~undecided))
         state = state.filter(undecided).withColumn("blocks", F.ceil(2 * F.col("blocks") / block))
         most = -(-2 * most // block)
-    counted = done.unionByName(state).select("source", "doc_id", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+    counted = done.unionByName(state).select(*UNIT, "place", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
     return rows, targets, counted
 
 
 def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` per input row: words the mix takes of it, repeats counted."""
     rows, targets, counted = copies(docs, doc_id, text, source)
-    counted = counted.withColumnsRenamed({"source": "__source", "doc_id": "__doc_id"})
-    taken = rows.join(counted, same(rows, counted, [("source", "__source"), ("doc_id", "__doc_id")]), "left") \
-        .drop("__source", "__doc_id")
+    counted = counted.withColumnsRenamed({name: f"__{name}" for name in [*UNIT, "place"]})
+    taken = rows.join(counted, same(rows, counted, [(name, f"__{name}") for name in [*UNIT, "place"]]), "left") \
+        .drop("__source", "__doc_id", "__text_key", "__place")
     targets = targets.withColumnRenamed("source", "__source")
     return taken.join(targets, taken["source"].eqNullSafe(targets["__source"]), "left").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken"))
@@ -160,8 +164,15 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of the mix, each as often as it is taken, with all columns of ``docs``."""
     _, _, counted = copies(docs, doc_id, text, source)
-    counted = counted.filter(F.col("copies") > 0) \
-        .withColumnsRenamed({"source": "__source", "doc_id": "__doc_id", "copies": "__copies"})
-    joined = docs.join(counted, same(docs, counted, [(source, "__source"), (doc_id, "__doc_id")]))
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.drop("__source", "__doc_id", "__copies", "__copy")
+    # Rows equal in source, id and text share what they are taken together as evenly as it goes.
+    shares = counted.groupBy(*[F.col(name).alias(f"__{name}") for name in UNIT]).agg(
+        F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter(F.col("__copies") > 0)
+    keyed = docs.withColumn("__key", F.xxhash64(text))
+    joined = keyed.join(shares, same(keyed, shares, [(source, "__source"), (doc_id, "__doc_id"), ("__key", "__text_key")]))
+    equal = Window.partitionBy("__source", "__doc_id", "__text_key").orderBy("__key")
+    placed = joined.filter(F.col("__rows") == 1).withColumn("__place", F.lit(1)).unionByName(
+        joined.filter(F.col("__rows") > 1).withColumn("__place", F.row_number().over(equal)))
+    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__place") <= F.col("__copies") % F.col("__rows")).cast("long")
+    repeated = placed.withColumn("__own", own).filter(F.col("__own") > 0) \
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own"))))
+    return repeated.select(*[F.col(f"`{name}`") for name in docs.columns])

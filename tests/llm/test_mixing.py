@@ -99,3 +99,20 @@ def test_odd(odd, odd_rows, nothing, all_missing):
 def test_one_source(spark):
     docs = spark.createDataFrame([(i, "a b c", "s") for i in range(10)], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mix_report(docs).collect()] == [(30.0, 3)] * 10
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_rows_without_id_are_documents_of_their_own(spark, equal):
+    rows = [(None if i % 2 else i, " ".join(["w"] * 10 if equal else ["w"] * (5 + i % 11)), f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    size, words = defaultdict(int), defaultdict(int)
+    for _, text, source in rows:
+        size[source] += len(text.split())
+    want = targets(size)
+    result = mixing.mix_report(docs).collect()
+    assert len(result) == len(rows) and all(r.taken <= 3 * r.size for r in result)
+    assert sum(r.taken for r in result) == pytest.approx(sum(want.values()), abs=50)
+    for r in mixing.mixed(docs).collect():
+        words[r.source] += len(r.text.split())
+    for s, t in want.items():
+        assert abs(words[s] - t) <= 16
