@@ -57,7 +57,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of equal texts, with all columns of ``docs``: that with the smallest id.
 
-    Of rows that repeat both id and text one stays.
+    A row without id stays only where the group has no id. Of rows that share the winning id, or all
+    lack one, that with the smallest text key stays.
     """
-    kept = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias(doc_id), "text_key")
-    return keep_rows(docs, kept, doc_id, text, once=True)
+    kept = exact_groups(docs, doc_id, text).filter("kept").groupBy("text_sha256") \
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    return keep_rows(docs, kept.select(F.col("row.doc_id").alias(doc_id), "row.text_key"), doc_id, text, once=True)

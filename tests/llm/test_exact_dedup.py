@@ -46,3 +46,10 @@ def test_drop_keeps_columns_and_one_row_per_text(odd, odd_rows, nothing):
     got = kept.collect()
     assert sorted(clean(r.text) for r in got) == sorted({clean(r[1]) for r in odd_rows})
     assert exact_dedup.drop_exact_copies(nothing).count() == 0
+
+
+def test_one_row_stays_without_ids_or_with_repeated_ids(spark):
+    rows = [(None, "one text"), (None, "one  text"), (None, "one\ttext"), (4, "two  words"), (4, "two words"), (9, "two\nwords"),
+            (None, "two   words")]
+    got = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((clean(r.text), r.doc_id) for r in got) == [("one text", None), ("two words", 4)]
