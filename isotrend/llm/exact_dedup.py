@@ -60,6 +60,7 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     A row without id stays only where the group has no id. Of rows that share the winning id, or all
     lack one, that with the smallest text key stays.
     """
-    kept = exact_groups(docs, doc_id, text).filter("kept").groupBy("text_sha256") \
+    # By the digest's bytes, so that the rows are not held to the join's partitions, whose hot keys can then be split.
+    kept = exact_groups(docs, doc_id, text).filter("kept").groupBy(F.unhex("text_sha256").alias("digest")) \
         .agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
     return keep_rows(docs, kept.select(F.col("row.doc_id").alias(doc_id), "row.text_key"), doc_id, text, once=True)
