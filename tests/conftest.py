@@ -29,9 +29,3 @@ def small():
 @pytest.fixture(scope="session")
 def medium():
     return MEDIUM
-
-
-def final_plan(df):
-    """The executed plan as text, without the repeated initial plans."""
-    df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]

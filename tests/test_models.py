@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import final_plan
+from plans import final_plan
 from isotrend.operators import linear, pca, trend
 from isotrend.operators.moments import add_merged_total, pair_moments
 from isotrend.operators.smooth import loess_curve

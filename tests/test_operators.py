@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import final_plan
+from plans import final_plan
 from isotrend.operators import change, joins, reshape
 from isotrend.operators.order_stats import exact_quantiles
 

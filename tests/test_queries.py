@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import final_plan
+from plans import final_plan
 from oracle import compare, connect
 from isotrend.plans.registry import ORACLES, QUERIES
 
