@@ -24,9 +24,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def id_hash(doc_id: str) -> Column:
+    """Unsigned crc32 of the id as text; a missing id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+
+
 def id_remainder(doc_id: str, parts: int) -> Column:
-    """crc32 of the id as text modulo ``parts``; a missing id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+    """``id_hash`` modulo ``parts``."""
+    return F.pmod(id_hash(doc_id), F.lit(parts))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotrend.llm import (backoff_lm, exact_dedup, language_id, licenses, mixing, packing, pii, quality, simhash,
+from isotrend.llm import (backoff_lm, exact_dedup, language_id, licenses, mixing, packing, periodic_runs, pii, quality, simhash,
                           token_files)
+from isotrend.llm.common import id_hash, whole_text, words_of
 from isotrend.plans.tables import table
 from isotrend.session import scratch_path
 
@@ -126,3 +127,35 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten, by the hash of its id, repeats its words from some place on."""
+    h = id_hash("doc_id")
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", whole_text().alias("text"), g.alias("g"),
+                       F.when(h % 10 == 0, words_of(whole_text())).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+
+    def word(_, i):
+        source = F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+        return F.get(F.col("words"), source.cast("int"))
+
+    damaged = F.array_join(F.transform("words", word), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), damaged).otherwise(F.col("text")).alias("text"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeated_tails(table(spark, folder, "documents")))
+    # The runs are in order of start and period, so the first of equal exponents stays.
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)),
+                       lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]),
+                                                   F.lit("\n")))
+    shown = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                         F.array_join(lines, "").alias("lines"))
+    return shown.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
