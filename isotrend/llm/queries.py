@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotrend.llm import (backoff_lm, exact_dedup, language_id, licenses, mixing, packing, periodic_runs, pii, quality, simhash,
-                          token_files)
+from isotrend.llm import (backoff_lm, conversation_repair, exact_dedup, language_id, licenses, mixing, packing, periodic_runs,
+                          pii, quality, simhash, token_files)
 from isotrend.llm.common import id_hash, whole_text, words_of
 from isotrend.plans.tables import table
 from isotrend.session import scratch_path
@@ -159,3 +159,30 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return shown.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
                         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
                         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Conversations with faults of five kinds, by a hash of conversation and turn; anything missing is one space."""
+    filled = turns.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fault = F.crc32(place.cast("binary")) % 20
+    marked = filled.withColumn("fault", fault).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return marked.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    mended = conversation_repair.repair(damaged_turns(turns))
+    asked = turns.select("conv_id").distinct()
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = mended.summary.withColumnRenamed("conv_id", "found_id")
+    hashes = conversation_repair.hashed(mended.pieces).withColumnRenamed("conv_id", "hash_id")
+    rows = asked.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left") \
+        .join(hashes, F.col("conv_id").eqNullSafe(F.col("hash_id")), "left")
+    return rows.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+                       F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
