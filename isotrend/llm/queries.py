@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotrend.llm import (backoff_lm, conversation_repair, exact_dedup, language_id, licenses, mixing, packing, periodic_runs,
-                          pii, quality, simhash, token_files)
+                          pii, quality, quality_classifier, simhash, token_files)
 from isotrend.llm.common import id_hash, whole_text, words_of
 from isotrend.plans.tables import table
 from isotrend.session import scratch_path
@@ -129,6 +129,12 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@register("op11_quality_classifier")
+def op11_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """Documents of which one in ten, by the hash of its id, repeats its words from some place on."""
     h = id_hash("doc_id")

@@ -22,5 +22,5 @@ def test_registered():
     import __spark_entry__ as contract
 
     names = contract.queries().keys()
-    assert [sum(name.startswith(f"op{n}_") for name in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(name.startswith(f"op{n}_") for name in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names
