@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isotrend.functions.distributions import Z_975, f_upper_p, t_two_sided_p
+from isotrend.functions.values import named, nan_to_null
 from isotrend.operators.joins import attach
 from isotrend.operators.moments import moment_matrix, quoted, result_keys
 
@@ -220,20 +221,25 @@ def vif_table(models: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Every pair of columns: r, mean and deviation of both, 95 % interval, t and p.
 
-    Each pair uses the rows where both are present. One pass serves all pairs.
+    Each pair uses the rows where both are present; NaN counts as missing. One pass serves all pairs. Keys have
+    the names of ``result_keys``.
     """
-    def pair(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        return F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"),
+    keys, inner = list(keys), [f"__key{i}" for i in range(len(keys))]
+    values = df.select(*[named(k).alias(i) for k, i in zip(keys, inner)],
+                       *[nan_to_null(named(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def pair(i: int, j: int) -> Column:
+        a, b = F.col(f"v{i}"), F.col(f"v{j}")
+        both = a.isNotNull() & b.isNotNull()
+        return F.struct(F.lit(columns[i]).alias("first"), F.lit(columns[j]).alias("second"),
                         F.regr_count(a, b).alias("n"), F.corr(a, b).alias("r"),
-                        F.avg(F.when(both, F.col(a))).alias("first_mean"),
-                        F.stddev_samp(F.when(both, F.col(a))).alias("first_sd"),
-                        F.avg(F.when(both, F.col(b))).alias("second_mean"),
-                        F.stddev_samp(F.when(both, F.col(b))).alias("second_sd")).alias(f"{a}|{b}")
-
-    pairs = [pair(a, b) for a, b in combinations(columns, 2)]
-    names = [f"`{a}|{b}`" for a, b in combinations(columns, 2)]
-    rows = df.groupBy(*keys).agg(*pairs).select(*keys, F.inline(F.array(*names)))
+                        F.avg(F.when(both, a)).alias("first_mean"), F.stddev_samp(F.when(both, a)).alias("first_sd"),
+                        F.avg(F.when(both, b)).alias("second_mean"),
+                        F.stddev_samp(F.when(both, b)).alias("second_sd")).alias(f"__pair{i}_{j}")
+
+    pairs = list(combinations(range(len(columns)), 2))
+    rows = values.groupBy(*inner).agg(*[pair(i, j) for i, j in pairs]).select(
+        *[F.col(i).alias(name) for i, name in zip(inner, result_keys(keys))], F.inline(F.array(*[f"__pair{i}_{j}" for i, j in pairs])))
     half = F.lit(Z_975) / F.sqrt(F.when(F.col("n") > 3, F.col("n") - 3))
     whole = F.abs("r") >= 1
     fisher = F.when(~whole, F.atanh("r"))
@@ -247,16 +253,18 @@ def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 
 
 def zscore(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), suffix: str = "_z") -> DataFrame:
-    """Add (x - mean) / sd with the n - 1 divisor; a constant column gives NULL.
+    """Add (x - mean) / sd with the n - 1 divisor; a constant column gives NULL, and so does a missing value or NaN.
 
     Without keys the statistics are one row, computed once as a scalar subquery.
     """
-    stats = [F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")).alias(f"__{c}") for c in columns]
+    values = [nan_to_null(named(c).cast("double")) for c in columns]
+    slots = [f"__z{i}" for i in range(len(columns))]
+    stats = [F.struct(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")).alias(s) for v, s in zip(values, slots)]
     if keys:
-        rows = attach(df, df.groupBy(*keys).agg(*stats), list(keys))
+        rows = attach(df, df.groupBy(*quoted(keys)).agg(*stats), list(keys))
     else:
         one = df.agg(F.struct(*stats).alias("all")).scalar()
-        rows = df.withColumns({f"__{c}": one[f"__{c}"] for c in columns})
-    scaled = {f"{c}{suffix}": F.try_divide(F.col(c) - F.col(f"__{c}")["mean"],
-                                           F.nullif(F.col(f"__{c}")["sd"], F.lit(0.0))) for c in columns}
-    return rows.withColumns(scaled).drop(*[f"__{c}" for c in columns])
+        rows = df.withColumns({s: one[s] for s in slots})
+    scaled = {f"{c}{suffix}": F.try_divide(v - F.col(s)["mean"], F.nullif(F.col(s)["sd"], F.lit(0.0)))
+              for c, v, s in zip(columns, values, slots)}
+    return rows.withColumns(scaled).drop(*slots)

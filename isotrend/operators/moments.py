@@ -21,7 +21,8 @@ PAIR = ("n", "mean_x", "mean_y", "sxx", "syy", "sxy")
 # Columns that results of models have; a key of the same name gets an ending.
 RESULT_NAMES = frozenset("""n means cross df_model df_resid sse sst r2 adj_r2 sigma f terms position term estimate std_error t
  std_estimate std_estimate_error ss vif p f_p component eigenvalue sdev share cumulative loadings sds percent
- cumulative_percent variable loading coordinate cos2 source df ms pre""".split())
+ cumulative_percent variable loading coordinate cos2 source df ms pre first second r first_mean first_sd second_mean
+ second_sd ci_low ci_high""".split())
 
 
 def result_keys(keys: Sequence[str]) -> list[str]:

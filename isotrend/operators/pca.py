@@ -50,8 +50,11 @@ def pca(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Data
 
     Groups with a constant column have no standardised form and give no row.
     """
-    keys, k = list(keys), len(columns)
+    return components_of(moment_matrix(df, columns, keys), len(columns), len(keys))
+
 
+def components_of(moments: DataFrame, k: int, keys: int) -> DataFrame:
+    """The components behind rows of moments, of which the first ``keys`` columns are keys."""
     def solve(n: np.ndarray, means: np.ndarray, cross: np.ndarray) -> Iterator[tuple[int, dict]]:
         full = unpack_cross(cross, k)
         at = _usable(n, full)
@@ -64,7 +67,7 @@ def pca(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Data
                           "share": shares[g, j], "cumulative": float(shares[g, :j + 1].sum()),
                           "loadings": vectors[g, :, j].tolist(), **scale}
 
-    return solved(moment_matrix(df, columns, keys), len(keys), solve, COMPONENT)
+    return solved(moments, keys, solve, COMPONENT)
 
 
 def scree(fit: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

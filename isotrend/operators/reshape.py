@@ -92,11 +92,14 @@ def choice_list(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe_measures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum and maximum per column, one row each, in one pass."""
-    stats = [F.struct(F.lit(c).alias("measure"), F.count(c).alias("n"), F.avg(c).alias("mean"),
-                      F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("low"),
-                      F.max(c).cast("double").alias("high")).alias(c) for c in columns]
-    return df.agg(*stats).select(F.inline(F.array(*columns)))
+    """Count, mean, sample deviation, minimum and maximum per column, one row each, in one pass; NaN counts as missing."""
+    def line(name: str) -> Column:
+        v = present(name)
+        return F.struct(F.lit(name).alias("measure"), F.count(v).alias("n"), F.avg(v).alias("mean"),
+                        F.stddev_samp(v).alias("sd"), F.min(v).cast("double").alias("low"), F.max(v).cast("double").alias("high"))
+
+    lines = [f"__{i}" for i in range(len(columns))]
+    return df.agg(*[line(c).alias(a) for c, a in zip(columns, lines)]).select(F.inline(F.array(*lines)))
 
 
 def count_domain(df: DataFrame, label: Column, labels: Sequence[str], name: str = "label") -> DataFrame:

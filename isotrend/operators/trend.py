@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from isotrend.functions.calendar import ALL_MONTHS, MONTHS, level_index, not_in_years, year_column
 from isotrend.functions.distributions import t_quantile_975, t_two_sided_p
-from isotrend.functions.values import as_col, recode
+from isotrend.functions.values import as_col, named, recode
 from isotrend.operators.joins import area_attributes, attach
 from isotrend.operators.moments import add_merged_total, pair_columns, pair_moments
 from isotrend.operators.order_stats import exact_quantiles
+from isotrend.operators.reshape import present
+from isotrend.session import settle
 
 SIGNIFICANT = 0.05
 # Category labels of the significance table, and the order they sort in.
@@ -47,6 +49,12 @@ def fit_columns(moments: DataFrame) -> DataFrame:
     return moments.selectExpr("*", *lines).withColumn("slope_p", t_two_sided_p("slope_t", "dof"))
 
 
+def complete_pairs(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``__x, __y`` of the rows that have both; NaN counts as missing."""
+    rows = df.select(*keys, *[present(named(c).cast("double")).alias(a) for c, a in ((x, "__x"), (y, "__y"))])
+    return rows.filter(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+
+
 def trend_fit(df: DataFrame, x: Column | str, y: Column | str, keys: Sequence[str] = ()) -> DataFrame:
     """Simple least squares of y on x per group: coefficients, errors, tests, R² and F."""
     fitted = fit_columns(pair_moments(df, x, y, keys))
@@ -63,14 +71,15 @@ def standardised_slope(fit: DataFrame) -> DataFrame:
 
 def residual_summary(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Minimum, quartiles and maximum of the residuals of each group's line."""
-    line = fit_columns(pair_moments(df, x, y, keys)).select(*keys, "slope", "intercept")
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    # Every later use of the lines reads them; none fits them again.
+    line = settle(fit_columns(pair_moments(df, x, y, keys)).select(*keys, "slope", "intercept"))
+    pairs = complete_pairs(df, x, y, keys)
     if keys:
         rows = attach(pairs, line, list(keys))
     else:
         one = line.select(F.struct("slope", "intercept").alias("line")).scalar()
-        rows = pairs.withColumn("line", one).select(x, y, "line.slope", "line.intercept")
-    residual = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
+        rows = pairs.withColumn("line", one).select("__x", "__y", "line.slope", "line.intercept")
+    residual = F.col("__y") - F.col("intercept") - F.col("slope") * F.col("__x")
     return exact_quantiles(rows.select(*keys, residual.alias("residual")), "residual",
                            (0.0, 0.25, 0.5, 0.75, 1.0), keys,
                            ("min", "q1", "median", "q3", "max"))
@@ -152,8 +161,7 @@ def trend_delta(fit: DataFrame, first: int, last: int, places: int = 3) -> DataF
 
 def trend_band(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), points: int = 80) -> DataFrame:
     """The fitted line with its 95 % confidence band on an even grid over each group's x range."""
-    pair = F.col(x).isNotNull() & F.col(y).isNotNull()
-    moments = df.filter(pair).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).alias("__y"))
+    moments = complete_pairs(df, x, y, keys)
     ranged = moments.groupBy(*keys).agg(*pair_columns("__x", "__y"), F.min("__x").alias("low"),
                                         F.max("__x").alias("high"))
     fit = fit_columns(ranged).withColumn("t975", t_quantile_975("dof"))

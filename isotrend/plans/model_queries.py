@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotrend.operators import linear, pca
+from isotrend.operators import linear, pca, reshape
 from isotrend.operators.moments import result_keys
 from isotrend.plans.sql_text import f3_p_value, inverse3, t_p_value
 from isotrend.plans.tables import registrar, rounded, table
@@ -269,3 +269,40 @@ def pcr(spark: SparkSession, folder: str) -> DataFrame:
 @register("pcr_two_scores", _pcr_sql(2))
 def pcr_two_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _pcr(spark, folder, 2)
+
+
+_NAN_MEASURES = """m AS (SELECT CASE WHEN l_linenumber <> 2 THEN l_quantity END AS l_quantity,
+ CASE WHEN l_linenumber <> 5 THEN l_extendedprice END AS l_extendedprice, l_returnflag, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem)"""
+
+
+def with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items with NaN for some quantities and prices, under names that need care."""
+    nan = F.lit(float("nan"))
+    return table(spark, folder, "lineitem").select(
+        F.when(F.col("l_linenumber") == 2, nan).otherwise(F.col("l_quantity")).alias("the.quantity"),
+        F.when(F.col("l_linenumber") == 5, nan).otherwise(F.col("l_extendedprice")).alias("price"), F.col("l_returnflag").alias("n"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+@register("corr_with_nan", f"""WITH {_NAN_MEASURES}, c AS (SELECT l_returnflag, count(*) FILTER (l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL) AS n,
+ corr(l_quantity, l_extendedprice) AS r, avg(CASE WHEN l_extendedprice IS NOT NULL THEN l_quantity END) AS first_mean FROM m GROUP BY 1)
+SELECT l_returnflag AS n_key, CAST(n AS BIGINT) AS n, round(r, 8) AS r, round(first_mean, 6) AS first_mean FROM c""")
+def corr_with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """NaN counts as missing in a correlation; a key named ``n`` and a measure with a dot."""
+    rows = linear.correlations(with_nan(spark, folder), ["the.quantity", "price"], ["n"])
+    return rounded(rounded(rows.select("n_key", "n", "r", "first_mean"), ["r"], 8), ["first_mean"])
+
+
+@register("zscore_with_nan", f"""WITH {_NAN_MEASURES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+ round((l_quantity - avg(l_quantity) OVER w) / stddev_samp(l_quantity) OVER w, 6) AS quantity_z FROM m WINDOW w AS (PARTITION BY l_returnflag)""")
+def zscore_with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """A NaN has no z-score and leaves those of the others alone."""
+    rows = linear.zscore(with_nan(spark, folder), ["the.quantity"], ["n"])
+    shown = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("`the.quantity_z`").alias("quantity_z"))
+    return rounded(shown, ["quantity_z"])
+
+
+@register("describe_with_nan", f"""WITH {_NAN_MEASURES}, q AS (SELECT 'the.quantity' AS measure, l_quantity AS v FROM m UNION ALL SELECT 'price', l_extendedprice FROM m)
+SELECT measure, CAST(count(v) AS BIGINT) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, min(v) AS low, max(v) AS high FROM q GROUP BY measure""")
+def describe_with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(reshape.describe_measures(with_nan(spark, folder), ["the.quantity", "price"]), ["mean", "sd"])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from isotrend.functions.calendar import month_name, not_in_years
 from isotrend.operators import reshape, trend
 from isotrend.operators.change import entity_year_mean
-from isotrend.operators.smooth import loess_curve
+from isotrend.operators.smooth import loess_band as smoothed_band
+from isotrend.operators.smooth import loess_curve, loess_values
 from isotrend.plans.sql_text import t_p_value, t_quantile_975
 from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, PARTIAL_YEAR, month_of, nation_orders, registrar,
                                    rounded, table)
@@ -177,3 +178,78 @@ def loess(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select("l_returnflag", day.alias("day"), "l_extendedprice")
     curve = loess_curve(lines, "day", "l_extendedprice", ["l_returnflag"])
     return rounded(rounded(curve, ["x"], 6), ["smooth"], 3)
+
+
+_PLACES = 16
+# The local fits at the places of the grid as weights of the observations: V (value, slope) by place; B blends them.
+_OPERATOR = f"""d AS (SELECT row_number() OVER (ORDER BY yr, mon) AS i, (yr - 1995) * 12.0 + mon AS x, avg(o_totalprice) AS y
+ FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(month(o_orderdate) AS INTEGER) AS mon, o_totalprice FROM orders) GROUP BY yr, mon),
+e AS (SELECT min(x) AS low, max(x) AS high, count(*) AS total, (max(x) - min(x)) / {_PLACES - 1} AS g FROM d),
+p AS (SELECT point, low + (high - low) * point / {_PLACES - 1} AS x0, floor(total * 0.75 + 0.00001) AS q FROM e, (SELECT unnest(range(0, {_PLACES})) AS point)),
+o AS (SELECT point, x0, q, i, x, y, abs(x - x0) AS dist, count(*) OVER (PARTITION BY point ORDER BY abs(x - x0)) AS after FROM d, p),
+h AS (SELECT point, min(dist) AS reach FROM o WHERE after >= q GROUP BY point),
+w AS (SELECT o.point, x0, i, y, reach, (x - x0) / reach AS s, CASE WHEN dist < reach THEN pow(1 - pow(dist / reach, 3), 3) ELSE 0 END AS w
+ FROM o JOIN h ON o.point = h.point),
+a AS (SELECT point, first(x0) AS x, first(reach) AS reach, sum(w) AS s0, sum(w * s) AS s1, sum(w * s * s) AS s2, sum(w * s * s * s) AS s3,
+ sum(w * s * s * s * s) AS s4 FROM w GROUP BY point),
+c AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM a),
+v AS (SELECT w.point, i, y, x AS x0, w * ((s2 * s4 - s3 * s3) + s * (s2 * s3 - s1 * s4) + s * s * (s1 * s3 - s2 * s2)) / det AS value,
+ w * ((s2 * s3 - s1 * s4) + s * (s0 * s4 - s2 * s2) + s * s * (s1 * s2 - s0 * s3)) / det / c.reach AS slope
+ FROM w JOIN c ON w.point = c.point),
+f AS (SELECT point, first(x0) AS x, sum(value * y) AS smooth, sum(slope * y) AS slope, sum(value * value) AS norm FROM v GROUP BY point),
+cell AS (SELECT i, x, y, g, least(CAST(floor((x - low) / g) AS INTEGER), {_PLACES - 2}) AS k, low FROM d, e),
+b AS (SELECT i, x, y, k, g, (x - (low + g * k)) / g AS t FROM cell)"""
+
+
+@register("loess_band", f"""WITH {_OPERATOR},
+l AS (SELECT b.i, lo.i AS j, (1 + 2 * t) * (1 - t) * (1 - t) * lo.value + t * t * (3 - 2 * t) * hi.value
+  + g * (t * (1 - t) * (1 - t) * lo.slope + t * t * (t - 1) * hi.slope) AS l
+ FROM b JOIN v lo ON lo.point = b.k JOIN v hi ON hi.point = b.k + 1 AND hi.i = lo.i),
+r AS (SELECT i, j, CASE WHEN i = j THEN 1 ELSE 0 END - l AS r FROM l),
+rr AS (SELECT a.i, b.i AS j, sum(a.r * b.r) AS m FROM r a JOIN r b ON a.j = b.j GROUP BY ALL),
+deltas AS (SELECT sum(CASE WHEN i = j THEN m ELSE 0 END) AS d1, sum(m * m) AS d2 FROM rr),
+res AS (SELECT r.i, sum(r.r * d.y) AS e FROM r JOIN d ON d.i = r.j GROUP BY r.i),
+s AS (SELECT sqrt(sum(e * e) / max(d1)) AS sigma, max(d1) * max(d1) / max(d2) AS df FROM res, deltas)
+SELECT CAST(point AS INTEGER) AS point, round(x, 6) AS x, round(smooth, 3) AS smooth, round(sigma * sqrt(norm), 3) AS se,
+ round(df, 6) AS df, round(smooth - {t_quantile_975('df')} * sigma * sqrt(norm), 1) AS lower,
+ round(smooth + {t_quantile_975('df')} * sigma * sqrt(norm), 1) AS upper FROM f, s""")
+def loess_band(spark: SparkSession, folder: str) -> DataFrame:
+    """The monthly mean price with its smooth curve and 95 % band."""
+    orders = table(spark, folder, "orders").select(F.year("o_orderdate").alias("yr"), F.month("o_orderdate").alias("mon"), "o_totalprice")
+    monthly = orders.groupBy(((F.col("yr") - 1995) * 12.0 + F.col("mon")).cast("double").alias("month")).agg(F.avg("o_totalprice").alias("price"))
+    band = smoothed_band(monthly, "month", "price", points=_PLACES).drop("sigma")
+    return rounded(rounded(rounded(band, ["x", "df"], 6), ["smooth", "se"], 3), ["lower", "upper"], 1)
+
+
+@register("loess_residuals", f"""WITH {_OPERATOR}
+SELECT CAST(b.x AS INTEGER) AS month, round((1 + 2 * t) * (1 - t) * (1 - t) * lo.smooth + t * t * (3 - 2 * t) * hi.smooth
+ + g * (t * (1 - t) * (1 - t) * lo.slope + t * t * (t - 1) * hi.slope), 3) AS smooth
+FROM b JOIN f lo ON lo.point = b.k JOIN f hi ON hi.point = b.k + 1""")
+def loess_residuals(spark: SparkSession, folder: str) -> DataFrame:
+    """The smoother's value at every month, blended from the places of the grid."""
+    orders = table(spark, folder, "orders").select(F.year("o_orderdate").alias("yr"), F.month("o_orderdate").alias("mon"), "o_totalprice")
+    month = ((F.col("yr") - 1995) * 12 + F.col("mon")).cast("int").alias("month")
+    monthly = orders.groupBy(month).agg(F.avg("o_totalprice").alias("price"))
+    return rounded(loess_values(monthly, "month", "price", points=_PLACES).select("month", "smooth"), ["smooth"], 3)
+
+
+@register("loess_with_nan", _CURVE.replace("FROM lineitem GROUP BY 1, 2", "FROM lineitem WHERE l_linenumber <> 2 AND l_linenumber <> 5 GROUP BY 1, 2"))
+def loess_with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """NaN in x or y counts as missing in the smoother."""
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("double")
+    nan = F.lit(float("nan"))
+    lines = table(spark, folder, "lineitem").select(
+        "l_returnflag", F.when(F.col("l_linenumber") == 5, nan).otherwise(day).alias("day"),
+        F.when(F.col("l_linenumber") == 2, nan).otherwise(F.col("l_extendedprice")).alias("price"))
+    return rounded(rounded(loess_curve(lines, "day", "price", ["l_returnflag"]), ["x"], 6), ["smooth"], 3)
+
+
+@register("trend_band_with_nan", ORACLES["trend_band"].replace("FROM lineitem GROUP BY", "FROM lineitem WHERE l_linenumber NOT IN (2, 5) GROUP BY"))
+def trend_band_with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """A NaN in either column neither spoils the fit nor stretches its grid."""
+    nan = F.lit(float("nan"))
+    lines = table(spark, folder, "lineitem").select(
+        "l_returnflag", F.when(F.col("l_linenumber") == 5, nan).otherwise(F.col("l_quantity")).alias("quantity"),
+        F.when(F.col("l_linenumber") == 2, nan).otherwise(F.col("l_extendedprice")).alias("price"))
+    band = trend.trend_band(lines, "quantity", "price", ["l_returnflag"])
+    return rounded(rounded(rounded(band, ["x"], 6), ["se"], 4), ["fitted", "lower", "upper"], 3)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plans import final_plan
-from isotrend.operators import linear, pca, trend
+from isotrend.operators import linear, pca, smooth, trend
 from isotrend.operators.moments import add_merged_total, pair_moments
 from isotrend.operators.smooth import loess_curve
 
@@ -367,3 +367,88 @@ def test_loess_reproduces_a_parabola(spark):
     df = frame(spark, [("a", float(i), i * i - 3.0 * i) for i in range(30)])
     for row in loess_curve(df, "x", "y", ["g"]).collect():
         assert row.smooth == pytest.approx(row.x ** 2 - 3 * row.x, abs=1e-6)
+
+
+def operator_of(x, places, span=0.75):
+    """Value and slope weights of the local fits at the places, for every observation."""
+    q = int(len(x) * span + 1e-5)
+    value, slope = [], []
+    for x0 in places:
+        d = np.abs(x - x0)
+        h = np.sort(d)[q - 1]
+        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
+        design = np.column_stack([np.ones_like(x), x - x0, (x - x0) ** 2])
+        shares = np.linalg.solve((design * w[:, None]).T @ design, (design * w[:, None]).T)
+        value.append(shares[0])
+        slope.append(shares[1])
+    return np.array(value), np.array(slope)
+
+
+def blended(at, places, value, slope):
+    g = places[1] - places[0]
+    k = np.clip(((at - places[0]) / g).astype(int), 0, len(places) - 2)
+    t = ((at - places[k]) / g)[:, None]
+    return (1 + 2 * t) * (1 - t) ** 2 * value[k] + t ** 2 * (3 - 2 * t) * value[k + 1] \
+        + g * (t * (1 - t) ** 2 * slope[k] + t ** 2 * (t - 1) * slope[k + 1])
+
+
+def noisy(seed, size):
+    draw = np.random.default_rng(seed)
+    x = np.round(draw.uniform(0, 30, size), 1)
+    return x, np.sin(x / 4) + draw.normal(scale=0.3, size=size)
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_loess_band_by_the_whole_operator(spark, monkeypatch, block):
+    """σ, degrees and band from the matrix L itself; also with an index of many blocks."""
+    monkeypatch.setattr(smooth, "BLOCK", block)
+    x, y = noisy(1, 120)
+    df = frame(spark, [("a", float(a), float(b)) for a, b in zip(x, y)] + [("b", float("nan"), 1.0), ("a", 1.0, float("nan"))]).repartition(5)
+    places = np.linspace(x.min(), x.max(), 20)
+    value, slope = operator_of(x, places)
+    rest = np.eye(len(x)) - blended(x, places, value, slope)
+    inner = rest @ rest.T
+    sigma = np.sqrt(((rest @ y) ** 2).sum() / np.trace(inner))
+    dof = np.trace(inner) ** 2 / np.trace(inner @ inner)
+    got = smooth.loess_band(df, "x", "y", ["g"], points=20).orderBy("point").collect()
+    assert len(got) == 20 and {r.g for r in got} == {"a"}
+    assert [r.sigma for r in got] == pytest.approx([sigma] * 20, rel=1e-9) and got[0].df == pytest.approx(dof, rel=1e-9)
+    se = sigma * np.sqrt((value ** 2).sum(axis=1))
+    assert [r.smooth for r in got] == pytest.approx((value @ y).tolist()) and [r.se for r in got] == pytest.approx(se.tolist())
+    assert all(r.lower < r.smooth < r.upper and r.upper - r.smooth == pytest.approx(r.smooth - r.lower) for r in got)
+    assert [r.smooth for r in loess_curve(df, "x", "y", ["g"], points=20).orderBy("point").collect()] == pytest.approx(plain_loess(x, y, places))
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_blended_values_and_their_error(spark, keys):
+    x, y = noisy(2, 200)
+    df = frame(spark, [("a", float(a), float(b)) for a, b in zip(x, y)])
+    got = smooth.loess_values(df, "x", "y", keys).select("x", "smooth").collect()
+    places = np.linspace(x.min(), x.max(), 80)
+    value, slope = operator_of(x, places)
+    at = np.array([r.x for r in got])
+    assert [r.smooth for r in got] == pytest.approx(blended(at, places, (value @ y)[:, None], (slope @ y)[:, None])[:, 0].tolist())
+    # Eighty places leave less than a thousandth of the curve's range between blend and direct fit.
+    assert np.abs(np.array([r.smooth for r in got]) - plain_loess(x, y, at)).max() < 1e-3 * np.ptp(y)
+
+
+def test_smoother_of_many_groups_and_odd_ones(spark):
+    draw = np.random.default_rng(4)
+    rows = [(f"g{i % 60}", float(draw.integers(0, 40)), float(draw.normal())) for i in range(2400)]
+    rows += [("flat", 3.0, 1.0)] * 5 + [("two", 1.0, 1.0), ("two", 2.0, 5.0), (None, 1.0, 2.0), ("none", None, 1.0)]
+    got = loess_curve(frame(spark, rows).repartition(6), "x", "y", ["g"], points=5).collect()
+    assert len(got) == 5 * 63 and all(r.smooth is None for r in got if r.g in ("flat", "two", None))
+    for name in ("g0", "g31"):
+        x, y = (np.array([r[i] for r in rows if r[0] == name]) for i in (1, 2))
+        want = plain_loess(x, y, np.linspace(x.min(), x.max(), 5))
+        assert [r.smooth for r in sorted((r for r in got if r.g == name), key=lambda r: r.point)] == pytest.approx(want)
+    assert all(r.se is None for r in smooth.loess_band(frame(spark, rows[-9:]), "x", "y", ["g"], points=5).collect())
+    assert loess_curve(frame(spark, []), "x", "y", ["g"]).collect() == []
+
+
+def test_smoother_shuffles_each_row_once(spark, monkeypatch):
+    """No plan explodes the rows by place: what leaves the index is at most a row per block, task and place."""
+    x, y = noisy(3, 3000)
+    df = frame(spark, [("a", float(a) + i / 1e6, float(b)) for i, (a, b) in enumerate(zip(x, y))])
+    plan = final_plan(loess_curve(df, "x", "y", ["g"]))
+    assert "Generate" not in plan and plan.count("Scan parquet") <= 3
