@@ -15,9 +15,14 @@ LABEL = DIGITS | LETTERS | frozenset("-")
 LOCAL = DIGITS | LETTERS | frozenset("._%+-")
 PHONE = DIGITS | frozenset(" ().-")
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "address", "account")
+KINDS = (*BASE, "address", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 CUES = ("iban", "account", "acct", "ssn")
+# Cues that a secret follows behind a colon or equals sign, and the fixed starts of issued keys with the length of what follows.
+SECRET_CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key")
+ISSUED = {"AKIA": 16, "ASIA": 16, "ghp_": 36, "xoxb-": 20}
+VALUE = DIGITS | LETTERS | frozenset("_-+/.")
+LEAST_SECRET = 8
 TRAILING = frozenset(".,;:!?)]}'\"")
 
 Span = tuple[str, int, int]
@@ -34,6 +39,11 @@ def anchors() -> ahocorasick.Automaton:
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
             found.add_word(form, ("cue", len(form)))
+    for cue in SECRET_CUES:
+        for form in {cue, cue.upper(), cue.capitalize()}:
+            found.add_word(form, ("secret", len(form)))
+    for start in ISSUED:
+        found.add_word(start, ("issued", len(start)))
     found.make_automaton()
     return found
 
@@ -113,20 +123,48 @@ def phone_at(text: str, at: int) -> tuple[int, bool] | None:
     return end, 9 <= sum(c in DIGITS for c in text[at:end]) <= 15
 
 
-def address_at(text: str, at: int, after: int) -> tuple[int, int] | None:
-    """A link that names a person or a machine: with a user before an at-sign, or with a numeric host."""
-    end = after
-    while end < len(text) and not text[end].isspace() and text[end] not in "<>\"'|":
-        end += 1
+def link_end(text: str, after: int) -> tuple[int, int]:
+    """Where what is no white space or bracket ends, and the end without closing marks."""
+    stop = after
+    while stop < len(text) and not text[stop].isspace() and text[stop] not in "<>\"'|":
+        stop += 1
+    end = stop
     while end > after and text[end - 1] in TRAILING:
         end -= 1
-    host = text[after:end].split("/", 1)[0]
+    return stop, end
+
+
+def address_at(text: str, at: int, after: int, end: int) -> tuple[int, int] | None:
+    """A link that names a person or a machine: with a user before an at-sign, or with a numeric host."""
+    end = max(end, after)
+    slash = text.find("/", after, end)
+    host = text[after:end if slash < 0 else slash]
     user, sign, _ = host.rpartition("@")
     numbers = host.rpartition("@")[2].split(":")[0].split(".")
     numeric = len(numbers) == 4 and all(x and set(x) <= DIGITS and small(x, 0, len(x)) for x in numbers)
     return (at, end) if (sign and user) or numeric else None
 
 
+def secret_at(text: str, after: int) -> tuple[int, int] | None:
+    """The value that is assigned to a cue: eight characters or more with a digit among them."""
+    start = run_end(text, after, frozenset(" \t\"'"))
+    if start >= len(text) or text[start] not in ":=":
+        return None
+    start = run_end(text, start + 1, frozenset(" \t\"'"))
+    end = run_end(text, start, VALUE)
+    while end > start and text[end - 1] == ".":
+        end -= 1
+    return (start, end) if end - start >= LEAST_SECRET and any(c in DIGITS for c in text[start:end]) else None
+
+
+def issued_at(text: str, at: int, after: int) -> tuple[int, int] | None:
+    """A key that starts as its issuer's keys do and has their length."""
+    length = ISSUED[text[at:after]]
+    end = run_end(text, after, DIGITS | LETTERS | frozenset("-")) if text[after - 1] == "-" else run_end(text, after, DIGITS | LETTERS)
+    exact = end - after >= length if text[after - 1] == "-" else end - after == length
+    return (at, end) if exact and any(c in DIGITS for c in text[after:end]) else None
+
+
 def account_at(text: str, after: int) -> tuple[int, int] | None:
     """The number that follows a cue: an IBAN by its check digits, ddd-dd-dddd, or 6 to 17 digits."""
     start = run_end(text, after, frozenset(" \t:#=.-"))
@@ -142,6 +180,8 @@ def account_at(text: str, after: int) -> tuple[int, int] | None:
             if text[end] in DIGITS or text[end] in LETTERS:
                 kept.append(text[end].upper())
                 end += 1
+                if len(kept) == 4 and not "".join(kept[2:]).isdigit():
+                    return None
                 if len(kept) >= 15 and iban("".join(kept)) and (end == len(text) or text[end] not in DIGITS | LETTERS):
                     return start, end
             elif text[end] == " " and end + 1 < len(text) and text[end + 1] in DIGITS | LETTERS:
@@ -171,7 +211,7 @@ def find(text: str | None, automaton: ahocorasick.Automaton) -> list[Span]:
     text = text or ""
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     free = dict.fromkeys(KINDS, 0)
-    digits_end = 0
+    digits_end = link_stop = link_last = 0
 
     def take(kind: str, start: int, end: int, valid: bool = True) -> None:
         free[kind] = end
@@ -194,8 +234,16 @@ def find(text: str | None, automaton: ahocorasick.Automaton) -> list[Span]:
             if at >= free["phone"] and (hit := phone_at(text, at)):
                 take("phone", at, *hit)
         elif kind == "scheme":
-            if at >= free["address"] and (hit := address_at(text, at, last + 1)):
-                take("address", *hit)
+            if at >= free["address"]:
+                # All schemes in one stretch without white space end where it ends; it is looked through once.
+                if last + 1 > link_stop:
+                    link_stop, link_last = link_end(text, last + 1)
+                if hit := address_at(text, at, last + 1, link_last):
+                    take("address", *hit)
+        elif kind in ("secret", "issued"):
+            if at >= free["secret"] and (at == 0 or not text[at - 1].isalnum()) and (
+                    hit := secret_at(text, last + 1) if kind == "secret" else issued_at(text, at, last + 1)):
+                take("secret", *hit)
         elif (at == 0 or not text[at - 1].isalnum()) and at >= free["account"] and (hit := account_at(text, last + 1)):
             take("account", *hit)
     return [(kind, start, end) for kind in KINDS for start, end in found[kind]]

@@ -34,7 +34,8 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.personal_data(table(spark, folder, "documents"))
     base = pii.listed(lambda s: s["kind"].isin(*pii.BASE))
     return found.select("doc_id", *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.BASE],
-                        F.sha2(base, 256).alias("base_sha256"), pii.listed().alias("spans"))
+                        F.sha2(base, 256).alias("base_sha256"), pii.listed().alias("spans"),
+                        F.size("spans").cast("long").alias("n_spans"))
 
 
 @register("op3_simhash")
