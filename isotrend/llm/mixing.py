@@ -97,6 +97,24 @@ def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def numbered(rows: DataFrame, unit: list[str], name: str) -> DataFrame:
+    """Rows with their number among those equal in ``unit``, from 1, in place of ``__part``, the part of the input they came from.
+
+    Equal rows are numbered within their part, and the parts' counts are added up, so no task gets more of them
+    than one part of the input holds.
+    """
+    local = Window.partitionBy(*unit, "__part").orderBy("__part")
+    dealt = rows.withColumn(name, F.row_number().over(local))
+    earlier = Window.partitionBy(*unit).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = settle(rows.groupBy(*unit, "__part").agg(F.count(F.lit(1)).alias("__n"))
+                    .withColumn("__before", F.sum("__n").over(earlier)).filter("__before > 0")
+                    .select(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(unit)], F.col("__part").alias("__at"), "__before"))
+    joined = dealt.join(before, same(dealt, before, [(c, f"__of{i}") for i, c in enumerate(unit)])
+                        & (dealt["__part"] == before["__at"]), "left")
+    return joined.withColumn(name, (F.col(name) + F.coalesce("__before", F.lit(0))).cast("int")) \
+        .drop("__part", "__at", "__before", *[f"__of{i}" for i in range(len(unit))])
+
+
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
            block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Row sizes, targets of the sources, and ``source, doc_id, text_key, place, copies`` for every document.
@@ -113,9 +131,7 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("text_key"),
                         F.regexp_count(whole_text(text), F.lit(WORD)).cast("long").alias("size"))
-    # Only rows equal in source, id and text meet here; any order tells them apart.
-    equal = Window.partitionBy(*UNIT).orderBy("size")
-    rows = settle(sized.withColumn("place", F.row_number().over(equal)))
+    rows = settle(numbered(sized.withColumn("__part", F.spark_partition_id()), UNIT, "place"))
     targets = settle(source_targets(rows))
     rates = targets.select(F.col("source").alias("__source"), "units", F.coalesce(
         F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
@@ -167,11 +183,12 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     # Rows equal in source, id and text share what they are taken together as evenly as it goes.
     shares = counted.groupBy(*[F.col(name).alias(f"__{name}") for name in UNIT]).agg(
         F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter(F.col("__copies") > 0)
-    keyed = docs.withColumn("__key", F.xxhash64(text))
+    # Written first, so that the join deals both sides out anew and can split rows of one key.
+    shares = settle(shares)
+    keyed = docs.withColumns({"__key": F.xxhash64(text), "__part": F.spark_partition_id()})
     joined = keyed.join(shares, same(keyed, shares, [(source, "__source"), (doc_id, "__doc_id"), ("__key", "__text_key")]))
-    equal = Window.partitionBy("__source", "__doc_id", "__text_key").orderBy("__key")
-    placed = joined.filter(F.col("__rows") == 1).withColumn("__place", F.lit(1)).unionByName(
-        joined.filter(F.col("__rows") > 1).withColumn("__place", F.row_number().over(equal)))
+    placed = joined.filter(F.col("__rows") == 1).drop("__part").withColumn("__place", F.lit(1)).unionByName(
+        numbered(joined.filter(F.col("__rows") > 1), ["__source", "__doc_id", "__text_key"], "__place"))
     own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__place") <= F.col("__copies") % F.col("__rows")).cast("long")
     repeated = placed.withColumn("__own", own).filter(F.col("__own") > 0) \
         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own"))))
