@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,11 +15,15 @@ from pyspark.sql import functions as F
 from isotrend.llm.common import id_remainder, whole_text
 
 PARTS, HELD_OUT = 5, 1
-# Words of evidence that the unigrams are worth against what was seen after a word.
-STRENGTH = 1000.0
+# Words of an n-gram; histories have one less.
+ORDER = 3
+# Words of evidence that the next shorter history is worth against what was seen after one of one, two … words.
+STRENGTHS = (1000.0, 1000.0)
 ADDED = 0.5
-# Text of one block of documents, whose n-grams are asked for together, in bytes.
-BLOCK_BYTES = 8 << 20
+# Text of one block of documents, whose n-grams are asked for together, in bytes, and most shards that answer.
+BLOCK_BYTES, SHARDS = 8 << 20, 1 << 16
+# Tokens that one stretch of a traversal takes; a longer text is taken up again with the state its words give.
+STRETCH = 512
 # No word contains white space, so these stand for the end and the start of a text.
 END, START = b"\n", b" "
 
@@ -55,16 +60,20 @@ def gaps(keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """The tokens of a block of documents: words, then one end each, and the distinct n-grams among them."""
+    """The tokens of a block of documents, words and then one end each, and the distinct n-grams that end at them.
+
+    Lists have one entry per order, from single words on. The first token follows the start alone, so the longest
+    n-gram there is a pair; ``at`` is -1 where a token ends none.
+    """
 
     sizes: np.ndarray       # tokens per document
-    words: np.ndarray       # distinct word hashes, ascending
-    word_at: np.ndarray     # per token, its place in ``words``
-    pairs: np.ndarray       # distinct hashes of a token and the one before, ascending
-    pair_at: np.ndarray
+    keys: list[np.ndarray]  # distinct hashes, ascending
+    at: list[np.ndarray]    # per token, the place of its n-gram
+    head: list[np.ndarray]  # per n-gram, the place of all but its last word among the shorter ones, -1 for the start
+    tail: list[np.ndarray]  # and of all but its first
 
     @staticmethod
-    def of(texts: list[bytes]) -> Tokens:
+    def of(texts: list[bytes], order: int = ORDER) -> Tokens:
         known: dict[bytes, int] = {END: word_hash(END)}
         hashes, sizes = [], []
         for text in texts:
@@ -76,132 +85,216 @@ class Tokens:
                     known[word] = word_hash(word)
             hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
             sizes.append(len(words))
-        current = np.concatenate(hashes)
-        sizes = np.array(sizes, np.int64)
-        before = np.empty_like(current)
-        before[1:] = current[:-1]
-        before[np.cumsum(sizes) - sizes] = np.uint64(word_hash(START))
-        words, word_at = np.unique(current, return_inverse=True)
-        pairs, pair_at = np.unique(pair_hash(before, current), return_inverse=True)
-        return Tokens(sizes, words, word_at, pairs, pair_at)
-
-    def counts(self, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each distinct word and pair occurs in the documents to learn from."""
+        current, sizes = np.concatenate(hashes), np.array(sizes, np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        place = np.arange(len(current)) - np.repeat(firsts, sizes)
+        grams, first, at = np.unique(current, return_index=True, return_inverse=True)
+        out = Tokens(sizes, [grams], [at], [np.full(len(grams), -1)], [np.full(len(grams), -1)])
+        longer = current
+        for n in range(2, order + 1):
+            before = np.empty_like(longer)
+            before[1:] = longer[:-1]
+            if n == 2:
+                before[firsts] = np.uint64(word_hash(START))
+            longer = pair_hash(before, current)
+            there = np.flatnonzero(place >= n - 2)
+            grams, first, found = np.unique(longer[there], return_index=True, return_inverse=True)
+            at = np.full(len(current), -1)
+            at[there] = found
+            where = there[first]
+            head = np.where(place[where] > 0, out.at[-1][where - 1], -1)
+            out.keys.append(grams)
+            out.head.append(head)
+            out.tail.append(out.at[-1][where])
+            out.at.append(at)
+        return out
+
+    def counts(self, learnt: np.ndarray) -> list[np.ndarray]:
+        """How often each distinct n-gram occurs in the documents to learn from."""
         weight = np.repeat(learnt, self.sizes).astype(np.float64)
-        return tuple(np.bincount(at, weight, len(keys)).astype(np.uint64)
-                     for at, keys in ((self.word_at, self.words), (self.pair_at, self.pairs)))
+        return [np.bincount(at[at >= 0], weight[at >= 0], len(keys)).astype(np.uint64) for at, keys in zip(self.at, self.keys)]
 
 
 class Automaton:
-    """States are the empty history and each word that was seen; arcs carry log10 weights.
+    """The part of a backoff automaton that a block of documents can reach.
 
-    A state has an arc for every word seen after it. Any other word follows the state's failure
-    arc to the empty history, which has an arc for every word and one shared by unknown words:
+    A state is a history that was seen: none, the start, or up to order - 1 words. It has an arc for every word
+    seen after it, which leads to the longest history that the word leaves, and a failure arc to the history
+    without its first word, from which the word is tried again. The empty history has an arc for every word.
+    With p(x) = (c(x) + 0.5) / (N + 0.5 (V + 1)) and, for a history h and h' without its first word,
 
-        arc(h, x) = (c(hx) + strength p(x)) / (c(h) + strength)
-        failure(h) = strength / (c(h) + strength)
-        arc(x) = p(x) = (c(x) + 0.5) / (N + 0.5 (V + 1))
+        p(x | h) = (c(hx) + s p(x | h')) / (c(h) + s)        on the arc of x, as log10
+        s / (c(h) + s)                                        on the failure arc
 
-    so the probabilities after any history add up to one, unknown words counting as one word.
+    the probabilities after any history add up to one, unknown words counting as one word.
     """
 
-    def __init__(self, word_counts: np.ndarray, pair_counts: np.ndarray, total: int, distinct: int,
-                 strength: float = STRENGTH):
-        self.strength = strength
-        self.base = (word_counts + ADDED) / (total + ADDED * (distinct + 1))
-        self.word_counts, self.pair_counts = word_counts, pair_counts
-
-    def traverse(self, tokens: Tokens, ends: int) -> np.ndarray:
-        """log10 probability of each document in one pass from left to right.
-
-        The state carried to a token is the word before it; ``ends`` counts the ends that were learnt,
-        each of which closes a history that began at the start of a text.
+    def __init__(self, tokens: Tokens, counts: list[np.ndarray], total: int, distinct: int, ends: int,
+                 strengths: Sequence[float] = STRENGTHS):
+        order, words = len(counts), len(tokens.keys[0])
+        end = np.searchsorted(tokens.keys[0], np.uint64(word_hash(END)))
+        self.base = (counts[0] + ADDED) / (total + ADDED * (distinct + 1))
+        # States: the empty history, the start, then those n-grams that may go on, order by order.
+        self.empty, self.start = 0, 1 if ends else 0
+        state_of, states = [], 2
+        last = [np.arange(words)]
+        for n in range(2, order + 1):
+            last.append(last[-1][tokens.tail[n - 1]])
+        for n in range(1, order):
+            seen = (counts[n - 1] > 0) & (last[n - 1] != end)
+            numbers = np.full(len(seen), -1)
+            numbers[seen] = states + np.arange(seen.sum())
+            states += int(seen.sum())
+            state_of.append(numbers)
+        self.failure, self.failure_weight = np.zeros(states, np.int64), np.zeros(states)
+        self.failure_weight[1] = np.log10(strengths[0] / (ends + strengths[0]))
+        for n, numbers in enumerate(state_of, 1):
+            seen = numbers >= 0
+            self.failure_weight[numbers[seen]] = np.log10(strengths[n - 1] / (counts[n - 1][seen] + strengths[n - 1]))
+            if n > 1:
+                self.failure[numbers[seen]] = state_of[n - 2][tokens.tail[n - 1][seen]]
+        # Arcs of the empty history, then of longer and longer ones; a word alone leaves itself as history.
+        chance = self.base
+        source, word, target, weight = [np.zeros(words, np.int64)], [np.arange(words)], [np.maximum(state_of[0], 0) if state_of else
+                                                                                        np.zeros(words, np.int64)], [np.log10(chance)]
+        for n in range(2, order + 1):
+            head, tail, s = tokens.head[n - 1], tokens.tail[n - 1], strengths[n - 2]
+            before = np.where(head >= 0, counts[n - 2][head], ends)
+            chance = (counts[n - 1] + s * chance[tail]) / (before + s)
+            arcs = np.flatnonzero(counts[n - 1] > 0)
+            source.append(np.where(head[arcs] >= 0, state_of[n - 2][head[arcs]], 1))
+            word.append(last[n - 1][arcs])
+            longest = state_of[n - 1][arcs] if n < order else state_of[n - 2][tail[arcs]]
+            target.append(np.maximum(longest, 0))
+            weight.append(np.log10(chance[arcs]))
+        self.words = words
+        keys = np.concatenate(source) * words + np.concatenate(word)
+        by_key = np.argsort(keys)
+        self.arcs, self.target, self.weight = keys[by_key], np.concatenate(target)[by_key], np.concatenate(weight)[by_key]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and log10 weights of one word each: failure arcs until a state has an arc for the word."""
+        state, gained = state.copy(), np.zeros(len(state))
+        todo = np.arange(len(state))
+        while len(todo):
+            key = state[todo] * self.words + word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[at] == key
+            done = todo[hit]
+            gained[done] += self.weight[at[hit]]
+            state[done] = self.target[at[hit]]
+            todo = todo[~hit]
+            gained[todo] += self.failure_weight[state[todo]]
+            state[todo] = self.failure[state[todo]]
+        return state, gained
+
+    def traverse(self, tokens: Tokens, stretch: int = STRETCH) -> np.ndarray:
+        """log10 probability of each document from left to right, all side by side, each carrying its state.
+
+        A state depends on order - 1 words alone, so a long document goes on in stretches that begin
+        that many words early, without weight, to come to the state at which they take over.
         """
+        order, words = len(tokens.keys), tokens.at[0]
         firsts = np.cumsum(tokens.sizes) - tokens.sizes
-        seen = np.empty(len(tokens.word_at))
-        seen[1:] = self.word_counts[tokens.word_at[:-1]]
-        seen[firsts] = ends
-        base = self.base[tokens.word_at]
-        together = self.pair_counts[tokens.pair_at]
-        arc = np.log10((together + self.strength * base) / (seen + self.strength))
-        failure = np.log10(self.strength / (seen + self.strength)) + np.log10(base)
-        return np.add.reduceat(np.where(together > 0, arc, failure), firsts)
-
-
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", strength: float = STRENGTH,
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        parts = -(-tokens.sizes // stretch)
+        document = np.repeat(np.arange(len(parts)), parts)
+        number = np.arange(len(document)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = firsts[document] + number * stretch
+        size = np.minimum(tokens.sizes[document] - number * stretch, stretch)
+        early = np.minimum(order - 1, number * stretch)
+        state = np.where(early == number * stretch, self.start, self.empty)
+        longest = np.argsort(-(size + early), kind="stable")
+        begin, size, early, document, state = (of[longest] for of in (begin, size, early, document, state))
+        gained = np.zeros(len(size))
+        length = size + early
+        for t in range(int(length[0]) if len(length) else 0):
+            alive = int(np.searchsorted(-length, -t, "left"))
+            state[:alive], weight = self.step(state[:alive], words[begin[:alive] - early[:alive] + t])
+            gained[:alive] += np.where(t >= early[:alive], weight, 0)
+        return np.bincount(document, gained, len(parts))
+
+
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", strengths: Sequence[float] = STRENGTHS,
+           order: int = ORDER, block_bytes: int = BLOCK_BYTES, shards: int = SHARDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per input row.
 
     The model is never in one place: it grows with the corpus, and so does what is shuffled.
 
-    1. Documents are dealt into blocks. A block sends its distinct n-grams with their training counts
-       to shards by hash range, as one packed row per shard.
+    1. Documents are dealt into blocks. A block sends its distinct n-grams, up to ``order`` words, with their
+       training counts to shards by hash range, as one packed row per shard.
     2. A shard adds up the counts of all blocks and answers each block in the order of its keys.
-    3. The block builds the part of the automaton that its own texts can reach and traverses them.
+    3. The block builds the part of the automaton that its own texts can reach and traverses it.
 
-    Keys are spread by hash, so no frequent word makes a hot shard, and one block asks for a word
-    once. Both uses of the blocks read one shuffle. A missing text is empty: its one token is the
-    end. Rows that repeat an id are documents of their own. An empty table gives no rows.
+    Keys are spread by hash, so no frequent word makes a hot shard, and one block asks for an n-gram
+    once. There are as many shards as blocks up to ``shards``, so the packed rows grow with the corpus. Blocks follow
+    the id and the place of the row in the input, so equal rows are dealt over all blocks. Both uses of the blocks read
+    one shuffle. A missing text is empty: its one token is the end. Rows that repeat an id are documents of their own.
+    An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), (id_remainder(doc_id, PARTS) == HELD_OUT).alias("held_out"),
                        whole_text(text).cast("binary").alias("body"))
     size = rows.agg(F.sum(F.octet_length("body") + 1)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(blocks)).cast("int"))
+    shards = min(blocks, shards)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    # Shard s holds the keys whose top 32 bits are in its even share of the range.
-    bounds = [np.uint64(-(-(s << 64) // blocks)) for s in range(1, blocks)]
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    counts_of = [f"counts{n}" for n in range(1, order + 1)]
+    names = [name for n in range(1, order + 1) for name in (f"keys{n}", f"counts{n}")]
+    # Shard s holds the keys in its even share of the range of 64 bits.
+    edges = np.array([-(-(s << 64) // shards) for s in range(1, shards)], np.uint64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [zstandard.compress(body.as_py(), 1) for body in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bodies, pa.binary()), batch.column(3)], batch.schema.names)
+
+    def tokens_of(table: pa.Table) -> Tokens:
+        return Tokens.of([zstandard.decompress(body.as_py()) for body in table.column("body")], order)
 
     def ask(table: pa.Table) -> pa.Table:
-        tokens = Tokens.of(table.column("body").to_pylist())
-        words, pairs = tokens.counts(~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
-        edges = np.array(bounds, np.uint64)
-        word_cut = [0, *np.searchsorted(tokens.words, edges), len(tokens.words)]
-        pair_cut = [0, *np.searchsorted(tokens.pairs, edges), len(tokens.pairs)]
-        out = {"shard": list(range(blocks)), "block": [table.column("block")[0].as_py()] * blocks,
-               "words": [], "word_counts": [], "pairs": [], "pair_counts": []}
-        for name, keys, counts, cut in (("word", tokens.words, words, word_cut), ("pair", tokens.pairs, pairs, pair_cut)):
-            for a, b in zip(cut, cut[1:]):
-                out[f"{name}s"].append(deflate(gaps(keys[a:b])))
-                out[f"{name}_counts"].append(deflate(counts[a:b]))
-        return pa.table(out, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), *[
-            (c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts")]]))
+        tokens = tokens_of(table)
+        learnt = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        out = {"shard": list(range(shards)), "block": [table.column("block")[0].as_py()] * shards}
+        for n, (keys, counts) in enumerate(zip(tokens.keys, tokens.counts(learnt)), 1):
+            cut = [0, *np.searchsorted(keys, edges), len(keys)]
+            out[f"keys{n}"] = [deflate(gaps(keys[a:b])) for a, b in zip(cut, cut[1:])]
+            out[f"counts{n}"] = [deflate(counts[a:b]) for a, b in zip(cut, cut[1:])]
+        return pa.table(out, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in names]]))
 
     def add_up(table: pa.Table) -> pa.Table:
         out = {"block": table.column("block").to_pylist(), "shard": table.column("shard").to_pylist()}
-        for name in ("word", "pair"):
-            keys = [np.cumsum(inflate(x, np.uint64), dtype=np.uint64) for x in table.column(f"{name}s").to_pylist()]
-            counts = [inflate(x, np.uint64) for x in table.column(f"{name}_counts").to_pylist()]
+        for n in range(1, order + 1):
+            keys = [np.cumsum(inflate(x, np.uint64), dtype=np.uint64) for x in table.column(f"keys{n}").to_pylist()]
+            counts = [inflate(x, np.uint64) for x in table.column(f"counts{n}").to_pylist()]
             _, at = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(at, np.concatenate(counts).astype(np.float64)).astype(np.uint64)
-            edges = np.cumsum([0, *map(len, keys)])
-            out[f"{name}_counts"] = [deflate(total[at[a:b]]) for a, b in zip(edges, edges[1:])]
-            if name == "word":
+            ends = np.cumsum([0, *map(len, keys)])
+            out[f"counts{n}"] = [deflate(total[at[a:b]]) for a, b in zip(ends, ends[1:])]
+            if n == 1:
                 out["total"] = [int(total.sum())] * len(keys)
                 out["distinct"] = [int((total > 0).sum())] * len(keys)
-        return pa.table(out, schema=pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("word_counts", pa.binary()),
-                                               ("pair_counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())]))
+        return pa.table(out, schema=pa.schema([("block", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in counts_of],
+                                               ("total", pa.int64()), ("distinct", pa.int64())]))
 
     def answer(table: pa.Table, replies: pa.Table) -> pa.Table:
         replies = replies.sort_by("shard")
         total, distinct = (sum(replies.column(c).to_pylist()) for c in ("total", "distinct"))
-        words, pairs = (np.concatenate([inflate(x, np.uint64) for x in replies.column(c).to_pylist()]).astype(np.float64)
-                        for c in ("word_counts", "pair_counts"))
-        tokens = Tokens.of(table.column("body").to_pylist())
-        automaton = Automaton(words, pairs, total, distinct, strength)
-        end = words[np.searchsorted(tokens.words, np.uint64(word_hash(END)))]
+        counts = [np.concatenate([inflate(x, np.uint64) for x in replies.column(c).to_pylist()]).astype(np.float64) for c in counts_of]
+        tokens = tokens_of(table)
+        ends = counts[0][np.searchsorted(tokens.keys[0], np.uint64(word_hash(END)))]
+        automaton = Automaton(tokens, counts, total, distinct, ends, strengths)
         firsts = np.cumsum(tokens.sizes) - tokens.sizes
         return pa.table({
             "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(tokens.sizes),
-            "n_known": pa.array(np.add.reduceat((words > 0)[tokens.word_at].astype(np.int64), firsts)),
+            "n_known": pa.array(np.add.reduceat((counts[0] > 0)[tokens.at[0]].astype(np.int64), firsts)),
             "train_tokens": pa.array(np.full(len(tokens.sizes), total, np.int64)),
-            "base_score": pa.array(np.add.reduceat(np.log10(automaton.base)[tokens.word_at], firsts)),
-            "score": pa.array(automaton.traverse(tokens, end))})
+            "base_score": pa.array(np.add.reduceat(np.log10(automaton.base)[tokens.at[0]], firsts)),
+            "score": pa.array(automaton.traverse(tokens))})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "shard int, block int, words binary, word_counts binary, "
-                                                     "pairs binary, pair_counts binary")
-    replied = asked.groupBy("shard").applyInArrow(add_up, "block int, shard int, word_counts binary, pair_counts binary, "
-                                                          "total long, distinct long")
+    dealt = numbered.mapInArrow(pack, f"doc_id {kind}, held_out boolean, body binary, block int")
+    asked = dealt.groupBy("block").applyInArrow(ask, "shard int, block int, " + ", ".join(f"{c} binary" for c in names))
+    replied = asked.groupBy("shard").applyInArrow(add_up, "block int, shard int, " + ", ".join(
+        f"{c} binary" for c in counts_of) + ", total long, distinct long")
     return dealt.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(
         answer, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                 "base_score double, score double")

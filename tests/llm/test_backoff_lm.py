@@ -16,29 +16,38 @@ def held(doc_id):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 1
 
 
-def brute(rows, strength):
-    one, two, starts = Counter(), Counter(), 0
+def brute(rows, strengths, order):
+    """Every score from counts of the whole table, by the recursion over shorter and shorter histories."""
+    counts, starts = [Counter() for _ in range(order + 1)], 0
     for r in rows:
         if not held(r[0]):
             t = tokens(r[1])
-            one.update(t)
-            two.update(zip([" ", *t], t))
             starts += 1
-    n, v = sum(one.values()), len(one)
+            for i in range(len(t)):
+                for n in range(1, order + 1):
+                    if n == 1 or i >= n - 2:
+                        counts[n][tuple([" ", *t][i + 2 - n:i + 2])] += 1
+    n, v = sum(counts[1].values()), len(counts[1])
+
+    def chance(history, x):
+        if not history:
+            return (counts[1][x,] + 0.5) / (n + 0.5 * (v + 1))
+        seen = starts if history == (" ",) else counts[len(history)][history]
+        s = strengths[len(history) - 1]
+        return (counts[len(history) + 1][*history, x] + s * chance(history[1:] if history != (" ",) else (), x)) / (seen + s)
+
     out = []
     for r in rows:
-        t, base, score = tokens(r[1]), 0.0, 0.0
-        for h, x in zip([" ", *t], t):
-            p = (one[x] + 0.5) / (n + 0.5 * (v + 1))
-            base += log10(p)
-            score += log10((two[h, x] + strength * p) / ((starts if h == " " else one[h]) + strength))
-        out.append((r[0], held(r[0]), len(t), sum(one[x] > 0 for x in t), n, base, score))
+        t = tokens(r[1])
+        base = sum(log10(chance((), x)) for x in t)
+        score = sum(log10(chance(tuple([" ", *t][max(0, i + 2 - order):i + 1]), x)) for i, x in enumerate(t))
+        out.append((r[0], held(r[0]), len(t), sum(counts[1][x,] > 0 for x in t), n, base, score))
     return out
 
 
-def check(df, rows, strength=lm.STRENGTH):
-    order = lambda r: (str(r[0]), r[2], r[5])
-    got, want = sorted(map(tuple, df.collect()), key=order), sorted(brute(rows, strength), key=order)
+def check(df, rows, strengths=lm.STRENGTHS, order=lm.ORDER):
+    order_by = lambda r: (str(r[0]), r[2], r[5])
+    got, want = sorted(map(tuple, df.collect()), key=order_by), sorted(brute(rows, strengths, order), key=order_by)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
@@ -58,14 +67,61 @@ def test_odd(odd, odd_rows, nothing, all_missing):
     assert {r.train_tokens for r in lm.scores(all_missing).collect()} == {3}
 
 
+@pytest.mark.parametrize("order, strengths", [(2, (3.0,)), (4, (5.0, 2.0, 0.5))])
+def test_other_orders(documents, rows, order, strengths):
+    check(lm.scores(documents, order=order, strengths=strengths, block_bytes=100_000), rows, strengths, order)
+
+
+def test_few_shards(documents, rows):
+    check(lm.scores(documents, block_bytes=20_000, shards=3), rows)
+
+
+def test_equal_rows_are_dealt_over_the_blocks(spark):
+    """A third of all rows alike, without id."""
+    rows = [(None, "the same words again")] * 400 + [(i, f"word{i % 7} and word{i % 5}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check(lm.scores(df, block_bytes=2000), rows)
+
+
+def automaton(texts, order=3, strengths=(4.0, 2.0)):
+    found = lm.Tokens.of([t.encode() for t in texts], order)
+    counts = [c.astype(float) for c in found.counts(np.ones(len(texts), bool))]
+    return found, lm.Automaton(found, counts, int(counts[0].sum()), len(counts[0]), len(texts), strengths)
+
+
 def test_probabilities_add_up():
-    words, pairs, strength = np.array([5.0, 3.0, 2.0]), np.array([4.0, 1.0]), 7.0
-    automaton = lm.Automaton(words, pairs, 10, 3, strength)
-    unknown = 0.5 / (10 + 0.5 * 4)
-    assert automaton.base.sum() + unknown == pytest.approx(1)
-    after_first = (pairs + strength * automaton.base[:2]) / (5 + strength)
-    backoff = strength / (5 + strength)
-    assert after_first.sum() + backoff * (automaton.base[2] + unknown) == pytest.approx(1)
+    """From every state the arcs, with those behind its failure arcs, and one unknown word make one."""
+    found, machine = automaton(["a b a b c", "b a c", "c c c a"])
+    for state in range(len(machine.failure)):
+        _, weights = machine.step(np.full(machine.words, state), np.arange(machine.words))
+        away, at = 0.0, state
+        while at:
+            away, at = away + machine.failure_weight[at], machine.failure[at]
+        unknown = 0.5 / (found.sizes.sum() + 0.5 * (machine.words + 1))
+        assert (10 ** weights).sum() + 10 ** away * unknown == pytest.approx(1)
+
+
+def test_failure_arcs_chain_to_the_empty_history():
+    found, machine = automaton(["a b c", "b d", "d e"])
+    word = {w: np.searchsorted(found.keys[0], np.uint64(lm.word_hash(w.encode()))) for w in "abcde"}
+    state = np.array([machine.start])
+    for w in "ab":
+        state, _ = machine.step(state, np.array([word[w]]))
+    chain = [int(state[0])]
+    while chain[-1]:
+        chain.append(int(machine.failure[chain[-1]]))
+    # After "a b" the state has two words, then one, then none; "e" is known to the last alone.
+    assert len(chain) == 3
+    reached, weight = machine.step(state, np.array([word["e"]]))
+    assert weight[0] == pytest.approx(machine.failure_weight[chain[0]] + machine.failure_weight[chain[1]] + np.log10(machine.base[word["e"]]))
+    assert reached[0] != machine.empty
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7, 512])
+def test_stretches_carry_the_state(stretch):
+    draw = np.random.default_rng(1)
+    found, machine = automaton([" ".join(draw.choice(list("abcd"), n)) for n in (0, 1, 2, 3, 40, 90)])
+    assert machine.traverse(found, stretch) == pytest.approx(machine.traverse(found, 1000))
 
 
 def test_packed_numbers():
