@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from isotrend.functions.calendar import split_year_month
 from isotrend.operators.change import entity_year_mean
-from isotrend.plans.tables import nation_orders, registrar, rounded, table, year_of
+from isotrend.operators.moment_store import (add_batch, period_change_from_moments, read_store, trend_from_moments,
+                                             yearly_from_moments)
+from isotrend.plans.change_queries import ORACLES as CHANGE_SQL
+from isotrend.plans.change_queries import PRICE_BREAKS, PRICE_LABELS
+from isotrend.plans.tables import PARTIAL_YEAR, nation_orders, registrar, rounded, table, year_of
+from isotrend.plans.trend_queries import ORACLES as TREND_SQL
 from isotrend.session import scratch_path
 from isotrend.sources.readers import (YEAR_MONTH, drop_row_number, header_names, read_keyed_files, read_table)
-from isotrend.sources.writers import write_table
+from isotrend.sources.writers import write_bucketed, write_table
 
 QUERIES, ORACLES, register = registrar()
 
@@ -83,3 +88,38 @@ def parquet_by_year(spark: SparkSession, folder: str) -> DataFrame:
     frame = spark.read.parquet(path).filter(F.col("year") == 1998)
     return rounded(frame.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("value")),
                    ["value"])
+
+
+def _stored_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders' moments by nation from a store that got them in three batches, one of them twice."""
+    orders, path = nation_orders(spark, folder), scratch_path(spark, "moments")
+    for batch, rows in (("early", "o_orderdate < '1997-03-10'"), ("middle", "o_orderdate >= '1997-03-10' and o_orderdate < '1999-11-20'"),
+                        ("late", "o_orderdate >= '1999-11-20'"), ("middle", "o_orderdate >= '1997-03-10' and o_orderdate < '1999-11-20'")):
+        add_batch(orders.filter(rows), path, batch, ["nation"], "o_orderdate", "o_totalprice")
+    return read_store(spark, path, ["nation"])
+
+
+@register("trend_from_store", TREND_SQL["trend_test"])
+def trend_from_store(spark: SparkSession, folder: str) -> DataFrame:
+    """The trend test from moments kept batch by batch equals that of a scan of all rows."""
+    tests = trend_from_moments(_stored_orders(spark, folder), ["nation"], [PARTIAL_YEAR])
+    shown = tests.select("nation", "month", "n", "slope", "slope_se", "slope_t", "slope_p")
+    return rounded(rounded(rounded(shown, ["slope", "slope_se"], 4), ["slope_t"], 5), ["slope_p"], 6)
+
+
+def served_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored moments, bucketed by nation for repeated requests."""
+    path = scratch_path(spark, "served")
+    return write_bucketed(_stored_orders(spark, folder), "served_" + path.rpartition("-")[2], path, "nation", 8, ["year", "month"])
+
+
+@register("period_change_served", CHANGE_SQL["period_change"])
+def period_change_served(spark: SparkSession, folder: str) -> DataFrame:
+    served = period_change_from_moments(served_orders(spark, folder), ["nation"], 1996, 1999, bins=(PRICE_BREAKS, PRICE_LABELS))
+    return rounded(served, ["baseline", "value", "diff"])
+
+
+@register("yearly_served", """SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS year, round(avg(o_totalprice), 6) AS value
+ FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+def yearly_served(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(yearly_from_moments(served_orders(spark, folder), ["nation"]), ["value"])
