@@ -22,6 +22,9 @@ STRENGTHS = (1000.0, 1000.0)
 ADDED = 0.5
 # Text of one block of documents, whose n-grams are asked for together, in bytes, and most shards that answer.
 BLOCK_BYTES, SHARDS = 8 << 20, 1 << 16
+# Bits of the hashes of pairs and longer n-grams that are left out: 56 stay, under which a million million n-grams
+# share a key with a chance of 1e-5 each.
+DROPPED = 8
 # Tokens that one stretch of a traversal takes; a longer text is taken up again with the state its words give.
 STRETCH = 512
 # No word contains white space, so these stand for the end and the start of a text.
@@ -88,8 +91,9 @@ class Tokens:
         current, sizes = np.concatenate(hashes), np.array(sizes, np.int64)
         firsts = np.cumsum(sizes) - sizes
         place = np.arange(len(current)) - np.repeat(firsts, sizes)
-        grams, first, at = np.unique(current, return_index=True, return_inverse=True)
-        out = Tokens(sizes, [grams], [at], [np.full(len(grams), -1)], [np.full(len(grams), -1)])
+        grams, at = np.unique(current, return_inverse=True)
+        none = np.full(len(grams), -1, np.int32)
+        out = Tokens(sizes, [grams], [at.astype(np.int32)], [none], [none])
         longer = current
         for n in range(2, order + 1):
             before = np.empty_like(longer)
@@ -98,13 +102,13 @@ class Tokens:
                 before[firsts] = np.uint64(word_hash(START))
             longer = pair_hash(before, current)
             there = np.flatnonzero(place >= n - 2)
-            grams, first, found = np.unique(longer[there], return_index=True, return_inverse=True)
-            at = np.full(len(current), -1)
+            # What travels of a longer n-gram is the first 56 bits of its hash.
+            grams, first, found = np.unique(longer[there] >> np.uint64(DROPPED), return_index=True, return_inverse=True)
+            at = np.full(len(current), -1, np.int32)
             at[there] = found
             where = there[first]
-            head = np.where(place[where] > 0, out.at[-1][where - 1], -1)
             out.keys.append(grams)
-            out.head.append(head)
+            out.head.append(np.where(place[where] > 0, out.at[-1][where - 1], -1).astype(np.int32))
             out.tail.append(out.at[-1][where])
             out.at.append(at)
         return out
@@ -137,55 +141,56 @@ class Automaton:
         # States: the empty history, the start, then those n-grams that may go on, order by order.
         self.empty, self.start = 0, 1 if ends else 0
         state_of, states = [], 2
-        last = [np.arange(words)]
-        for n in range(2, order + 1):
-            last.append(last[-1][tokens.tail[n - 1]])
+        last = np.arange(words, dtype=np.int32)
         for n in range(1, order):
-            seen = (counts[n - 1] > 0) & (last[n - 1] != end)
-            numbers = np.full(len(seen), -1)
+            last = last if n == 1 else last[tokens.tail[n - 1]]
+            seen = (counts[n - 1] > 0) & (last != end)
+            numbers = np.full(len(seen), -1, np.int32)
             numbers[seen] = states + np.arange(seen.sum())
             states += int(seen.sum())
             state_of.append(numbers)
-        self.failure, self.failure_weight = np.zeros(states, np.int64), np.zeros(states)
-        self.failure_weight[1] = np.log10(strengths[0] / (ends + strengths[0]))
+        self.level = np.zeros(states, np.int8)
+        self.failure, self.failure_weight = np.zeros(states, np.int32), np.zeros(states)
+        self.level[1] = 1
+        self.failure_weight[1] = np.log10(strengths[0] / (ends + strengths[0])) if order > 1 else 0
         for n, numbers in enumerate(state_of, 1):
             seen = numbers >= 0
+            self.level[numbers[seen]] = n
             self.failure_weight[numbers[seen]] = np.log10(strengths[n - 1] / (counts[n - 1][seen] + strengths[n - 1]))
             if n > 1:
                 self.failure[numbers[seen]] = state_of[n - 2][tokens.tail[n - 1][seen]]
-        # Arcs of the empty history, then of longer and longer ones; a word alone leaves itself as history.
+        # Arcs, by the n-gram they complete: where they lead, -1 if there is none, and their weights.
         chance = self.base
-        source, word, target, weight = [np.zeros(words, np.int64)], [np.arange(words)], [np.maximum(state_of[0], 0) if state_of else
-                                                                                        np.zeros(words, np.int64)], [np.log10(chance)]
+        self.target = [np.maximum(state_of[0], 0) if state_of else np.zeros(words, np.int32)]
+        self.weight = [np.log10(chance)]
         for n in range(2, order + 1):
             head, tail, s = tokens.head[n - 1], tokens.tail[n - 1], strengths[n - 2]
             before = np.where(head >= 0, counts[n - 2][head], ends)
             chance = (counts[n - 1] + s * chance[tail]) / (before + s)
-            arcs = np.flatnonzero(counts[n - 1] > 0)
-            source.append(np.where(head[arcs] >= 0, state_of[n - 2][head[arcs]], 1))
-            word.append(last[n - 1][arcs])
-            longest = state_of[n - 1][arcs] if n < order else state_of[n - 2][tail[arcs]]
-            target.append(np.maximum(longest, 0))
-            weight.append(np.log10(chance[arcs]))
-        self.words = words
-        keys = np.concatenate(source) * words + np.concatenate(word)
-        by_key = np.argsort(keys)
-        self.arcs, self.target, self.weight = keys[by_key], np.concatenate(target)[by_key], np.concatenate(weight)[by_key]
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states and log10 weights of one word each: failure arcs until a state has an arc for the word."""
+            longest = np.maximum(state_of[n - 1] if n < order else state_of[n - 2][tail], 0)
+            self.target.append(np.where(counts[n - 1] > 0, longest, -1))
+            self.weight.append(np.log10(chance))
+
+    def step(self, state: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and log10 weights of one word each, given as the n-grams it completes behind each history.
+
+        A state of some words has an arc if the n-gram one longer was seen; else its failure arc leads to one word
+        less, down to the empty history, which has every arc.
+        """
         state, gained = state.copy(), np.zeros(len(state))
-        todo = np.arange(len(state))
-        while len(todo):
-            key = state[todo] * self.words + word[todo]
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            hit = self.arcs[at] == key
-            done = todo[hit]
-            gained[done] += self.weight[at[hit]]
-            state[done] = self.target[at[hit]]
-            todo = todo[~hit]
-            gained[todo] += self.failure_weight[state[todo]]
-            state[todo] = self.failure[state[todo]]
+        open_ = np.ones(len(state), bool)
+        for n in range(len(grams) - 1, -1, -1):
+            at = np.flatnonzero(open_ & (self.level[state] == n))
+            if not len(at):
+                continue
+            gram = grams[n][at]
+            target = self.target[n][gram]
+            hit, miss = at[target >= 0], at[target < 0]
+            gained[hit] += self.weight[n][gram[target >= 0]]
+            state[hit] = target[target >= 0]
+            open_[hit] = False
+            gained[miss] += self.failure_weight[state[miss]]
+            state[miss] = self.failure[state[miss]]
         return state, gained
 
     def traverse(self, tokens: Tokens, stretch: int = STRETCH) -> np.ndarray:
@@ -194,7 +199,7 @@ class Automaton:
         A state depends on order - 1 words alone, so a long document goes on in stretches that begin
         that many words early, without weight, to come to the state at which they take over.
         """
-        order, words = len(tokens.keys), tokens.at[0]
+        order = len(tokens.keys)
         firsts = np.cumsum(tokens.sizes) - tokens.sizes
         parts = -(-tokens.sizes // stretch)
         document = np.repeat(np.arange(len(parts)), parts)
@@ -209,7 +214,8 @@ class Automaton:
         length = size + early
         for t in range(int(length[0]) if len(length) else 0):
             alive = int(np.searchsorted(-length, -t, "left"))
-            state[:alive], weight = self.step(state[:alive], words[begin[:alive] - early[:alive] + t])
+            here = begin[:alive] - early[:alive] + t
+            state[:alive], weight = self.step(state[:alive], [at[here] for at in tokens.at])
             gained[:alive] += np.where(t >= early[:alive], weight, 0)
         return np.bincount(document, gained, len(parts))
 
@@ -256,7 +262,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", strength
         learnt = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         out = {"shard": list(range(shards)), "block": [table.column("block")[0].as_py()] * shards}
         for n, (keys, counts) in enumerate(zip(tokens.keys, tokens.counts(learnt)), 1):
-            cut = [0, *np.searchsorted(keys, edges), len(keys)]
+            cut = [0, *np.searchsorted(keys, edges if n == 1 else edges >> np.uint64(DROPPED)), len(keys)]
             out[f"keys{n}"] = [deflate(gaps(keys[a:b])) for a, b in zip(cut, cut[1:])]
             out[f"counts{n}"] = [deflate(counts[a:b]) for a, b in zip(cut, cut[1:])]
         return pa.table(out, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in names]]))

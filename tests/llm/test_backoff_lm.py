@@ -89,32 +89,62 @@ def automaton(texts, order=3, strengths=(4.0, 2.0)):
     return found, lm.Automaton(found, counts, int(counts[0].sum()), len(counts[0]), len(texts), strengths)
 
 
+def behind(found, machine, history):
+    """The state after a history of words from the start, and its true n-grams, by walking the automaton."""
+    texts = [" ".join(history)]
+    tokens = lm.Tokens.of([t.encode() for t in texts])
+    places = [{int(k): i for i, k in enumerate(keys)} for keys in found.keys]
+    state = np.array([machine.start])
+    for i in range(len(history)):
+        grams = [np.array([places[n].get(int(tokens.keys[n][tokens.at[n][i]]), -1) if tokens.at[n][i] >= 0 else -1]) for n in range(3)]
+        state, _ = machine.step(state, grams)
+    return int(state[0])
+
+
 def test_probabilities_add_up():
-    """From every state the arcs, with those behind its failure arcs, and one unknown word make one."""
+    """From every state its arcs, and behind its failure arcs those that it lacks, and one unknown word make one."""
     found, machine = automaton(["a b a b c", "b a c", "c c c a"])
-    for state in range(len(machine.failure)):
-        _, weights = machine.step(np.full(machine.words, state), np.arange(machine.words))
-        away, at = 0.0, state
-        while at:
-            away, at = away + machine.failure_weight[at], machine.failure[at]
-        unknown = 0.5 / (found.sizes.sum() + 0.5 * (machine.words + 1))
-        assert (10 ** weights).sum() + 10 ** away * unknown == pytest.approx(1)
+    words, arcs = len(found.keys[0]), {}
+    state_of = {}
+    for n in range(3):
+        for gram in range(len(found.keys[n])):
+            where = int(np.flatnonzero(found.at[n] == gram)[0])
+            head = found.head[n][gram]
+            source = 0 if n == 0 else machine.start if head < 0 else state_of[n - 1, int(head)]
+            arcs.setdefault(source, {})[int(found.at[0][where])] = machine.weight[n][gram]
+            if n < 2 and machine.target[n][gram] > 0:
+                state_of[n, gram] = int(machine.target[n][gram])
+    assert set(arcs) == set(range(len(machine.failure)))
+    for state in arcs:
+        weights, away, at = {}, 0.0, state
+        while True:
+            for word, weight in arcs[at].items():
+                weights.setdefault(word, away + weight)
+            if not at:
+                break
+            away, at = away + machine.failure_weight[at], int(machine.failure[at])
+        unknown = 0.5 / (found.sizes.sum() + 0.5 * (words + 1))
+        assert len(weights) == words
+        assert sum(10 ** w for w in weights.values()) + 10 ** away * unknown == pytest.approx(1)
 
 
 def test_failure_arcs_chain_to_the_empty_history():
     found, machine = automaton(["a b c", "b d", "d e"])
-    word = {w: np.searchsorted(found.keys[0], np.uint64(lm.word_hash(w.encode()))) for w in "abcde"}
-    state = np.array([machine.start])
-    for w in "ab":
-        state, _ = machine.step(state, np.array([word[w]]))
-    chain = [int(state[0])]
+    chain = [behind(found, machine, ["a", "b"])]
     while chain[-1]:
         chain.append(int(machine.failure[chain[-1]]))
     # After "a b" the state has two words, then one, then none; "e" is known to the last alone.
-    assert len(chain) == 3
-    reached, weight = machine.step(state, np.array([word["e"]]))
-    assert weight[0] == pytest.approx(machine.failure_weight[chain[0]] + machine.failure_weight[chain[1]] + np.log10(machine.base[word["e"]]))
-    assert reached[0] != machine.empty
+    assert [int(machine.level[s]) for s in chain] == [2, 1, 0]
+    both = lm.Tokens.of([t.encode() for t in ["a b c", "b d", "d e", "a b e"]])
+    counts = [c.astype(float) for c in both.counts(np.array([True, True, True, False]))]
+    machine = lm.Automaton(both, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), 3, (4.0, 2.0))
+    at = int(both.sizes[:3].sum()) + 2
+    state = np.array([next(s for s in np.flatnonzero(machine.level == 2) if machine.failure[s] and
+                           machine.target[1][both.at[1][at - 1]] == s)])
+    _, weight = machine.step(state, [n[[at]] for n in both.at])
+    word = both.at[0][at]
+    down = machine.failure_weight[state[0]] + machine.failure_weight[machine.failure[state[0]]]
+    assert weight[0] == pytest.approx(down + np.log10(machine.base[word]))
 
 
 @pytest.mark.parametrize("stretch", [1, 2, 3, 7, 512])
