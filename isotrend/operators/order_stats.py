@@ -47,6 +47,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     few = counted.filter(F.col("n") <= RANKED_ROWS).groupBy(*keys).agg(
         F.percentile("v", [float(p) for p in probs]).alias("q"))
     few = few.select(*keys, *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
+    shown = [F.col(k).alias(o) for k, o in zip(keys, outer)] + names
+    # Where all groups are of one kind, the rows need not be read for the other.
+    least, most = brackets.agg(F.min("n"), F.max("n")).first()
+    if most is None or most <= RANKED_ROWS:
+        return few.select(*shown)
     marked = counted.filter(F.col("n") > RANKED_ROWS)
     slots = [F.col("brackets")[i] for i in range(len(probs))]
     inside = reduce(lambda a, b: a | b, [F.col("v").between(s["low"], s["high"]) for s in slots])
@@ -69,8 +74,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
 
     found = at_rank(spread, [*keys, "which"])
     q = [F.max(F.when(F.col("which") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
-    whole = found.groupBy(*keys).agg(*q).unionByName(few)
-    return whole.select(*[F.col(k).alias(o) for k, o in zip(keys, outer)], *names)
+    large = found.groupBy(*keys).agg(*q)
+    return (large if least > RANKED_ROWS else large.unionByName(few)).select(*shown)
 
 
 def _brackets(rows: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFrame:

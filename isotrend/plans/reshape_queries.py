@@ -9,6 +9,7 @@ from isotrend.functions import values
 from isotrend.functions.calendar import (ALL_MONTHS, level_index, month_name, month_number, season_of,
                                          split_year_month, year_between)
 from isotrend.operators import joins, reshape
+from isotrend.operators.lattice import lattice_summary
 from isotrend.plans.change_queries import case_bins
 from isotrend.plans.tables import (MONTH_NAMES, NATION_ORDERS, month_of, nation_orders, registrar,
                                    rounded, table, year_of)
@@ -289,3 +290,35 @@ _MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
  CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM lineitem""" for c in _MEASURES))
 def describe_measures(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(reshape.describe_measures(table(spark, folder, "lineitem"), _MEASURES), ["mean", "sd"], 6)
+
+
+@register("lattice_summary", f"""WITH o AS (SELECT n_name AS nation, r_name AS region, CAST(month(o_orderdate) AS VARCHAR) AS month,
+ 'Q' || quarter(o_orderdate) AS season, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice, -3) END AS v
+ FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+ LEFT JOIN region ON n_regionkey = r_regionkey),
+e AS (SELECT area.nation, area.region, span.month, span.season, v FROM o,
+ (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest([1, 2, 3]) AS t),
+ LATERAL (SELECT CASE WHEN a = 1 THEN o.nation ELSE 'All' END AS nation, CASE WHEN a < 3 THEN o.region ELSE 'All' END AS region) area,
+ LATERAL (SELECT CASE WHEN t = 1 THEN o.month ELSE 'All' END AS month, CASE WHEN t < 3 THEN o.season ELSE 'All' END AS season) span),
+g AS (SELECT nation, region, month, season, count(*) AS rows, count(v) AS n, avg(v) AS mean, min(v) AS low, max(v) AS high,
+ quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75 FROM e GROUP BY ALL),
+x AS (SELECT e.nation, e.region, e.month, e.season, count(*) FILTER (v = low) AS low_rows, count(*) FILTER (v = high) AS high_rows
+ FROM e JOIN g USING (nation, region, month, season) GROUP BY ALL)
+SELECT nation, region, month, season, CAST(rows AS BIGINT) AS rows, CAST(n AS BIGINT) AS n, round(mean, 5) AS mean,
+ round(CASE WHEN rows = n THEN mean END, 5) AS strict_mean, low, high, CAST(low_rows AS BIGINT) AS low_rows, CAST(high_rows AS BIGINT) AS high_rows,
+ round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75 FROM g JOIN x USING (nation, region, month, season)""")
+def lattice(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices by nation, region and all, for each month, quarter and all: measures that do not add up."""
+    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("nation"), "n_regionkey")
+    region = table(spark, folder, "region").select("r_regionkey", F.col("r_name").alias("region"))
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    rows = joins.left_join(orders, customer, {"o_custkey": "c_custkey"}, null_safe=False)
+    rows = joins.left_join(rows, nation, {"c_nationkey": "n_nationkey"}, null_safe=False)
+    rows = joins.left_join(rows, region, {"n_regionkey": "r_regionkey"}, null_safe=False)
+    # A price that is still open is NaN, which counts as missing.
+    price = F.when(F.col("o_orderstatus") == "P", float("nan")).otherwise(F.round("o_totalprice", -3))
+    rows = rows.select("nation", "region", F.month("o_orderdate").cast("string").alias("month"),
+                       F.concat(F.lit("Q"), F.quarter("o_orderdate")).alias("season"), price.alias("price"))
+    found = lattice_summary(rows, ["nation", "region"], ["month", "season"], "price")
+    return rounded(rounded(found, ["mean", "strict_mean"], 5), ["q25", "q50", "q75"], 4)

@@ -243,3 +243,33 @@ def test_year_filters_reach_the_scan(spark, small):
     for df in (frame, tests):
         pushed = final_plan(df).split("PushedFilters:")[1].split("ReadSchema")[0]
         assert "LessThan(o_orderdate," in pushed
+
+
+def test_lattice_of_measures_that_do_not_add_up(spark):
+    import itertools
+    import random
+
+    from isotrend.operators.lattice import lattice_summary
+
+    draw = random.Random(5)
+    rows = [(draw.choice(["a1", "a2", "b1", None]), draw.randint(1, 12), draw.choice([None, float("nan"), *range(12)])) for _ in range(500)]
+    rows = [(c, c and c[0], m, (m - 1) // 3, v if v is None else float(v)) for c, m, v in rows] + [("c1", "c", 1, 0, None)]
+    df = spark.createDataFrame(rows, "county string, state string, month int, `the.season` int, v double")
+    got = lattice_summary(df, ["county", "state"], ["month", "the.season"], "v", (0.5,))
+    groups = {}
+    for c, s, m, q, v in rows:
+        for (x, y), (t, u) in itertools.product([(c, s), ("All", s), ("All", "All")], [(str(m), str(q)), ("All", str(q)), ("All", "All")]):
+            groups.setdefault((x, y, t, u), []).append(v)
+    assert got.count() == len(groups)
+    for r in got.collect():
+        all_rows = groups[tuple(r)[:4]]
+        values = sorted(v for v in all_rows if v is not None and v == v)
+        assert (r.rows, r.n) == (len(all_rows), len(values))
+        if not values:
+            assert r["mean"] is r.high is r.q50 is None
+            continue
+        middle = (len(values) - 1) / 2
+        want = values[int(middle)] + (middle % 1) * (values[min(int(middle) + 1, len(values) - 1)] - values[int(middle)])
+        assert r["mean"] == pytest.approx(sum(values) / len(values)) and (r.strict_mean is None) == (len(values) < len(all_rows))
+        assert (r.high, r.high_rows, r.low, r.low_rows) == (values[-1], values.count(values[-1]), values[0], values.count(values[0]))
+        assert r.q50 == pytest.approx(want)
