@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from isotrend.llm import mixing
 
@@ -116,3 +117,16 @@ def test_rows_without_id_are_documents_of_their_own(spark, equal):
         words[r.source] += len(r.text.split())
     for s, t in want.items():
         assert abs(words[s] - t) <= 16
+
+
+def test_equal_rows_are_numbered_by_part(spark):
+    """A key with most of all rows: numbers run from 1 without a gap, and no window holds more than one part of it."""
+    rows = [(1, "a")] * 500 + [(None, "b")] * 40 + [(i, "c") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(6).withColumn("__part", F.spark_partition_id())
+    found = mixing.numbered(docs, ["id", "text"], "number").collect()
+    numbers = defaultdict(list)
+    for r in found:
+        numbers[r.id, r.text].append(r.number)
+    assert len(found) == len(rows) and all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
+    plan = mixing.numbered(docs, ["id", "text"], "number")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(id" in plan and "__part" in plan.split("windowspecdefinition(")[1].split(")")[0]
