@@ -76,17 +76,28 @@ def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = further
 
 
+def apart(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Bits in which each fingerprint of the first differs from each of the second; both have a row of 64-bit words each."""
+    bits = np.bitwise_count(rows[:, None, 0] ^ columns[None, :, 0])
+    if rows.shape[1] > 1:
+        bits = bits.astype(np.int16)
+        for word in range(1, rows.shape[1]):
+            bits += np.bitwise_count(rows[:, None, word] ^ columns[None, :, word])
+    return bits
+
+
 def tile_links(values: np.ndarray, radius: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all fingerprints of a tile (or of two tiles) that differ in at most ``radius`` bits.
 
-    The fingerprints are put in order of their population counts. Blocks of rows meet only those
+    A fingerprint is a 64-bit word, or a row of several. They are put in order of their population counts. Blocks of rows meet only those
     columns whose counts are within the radius; they are compared by exclusive-or and bit count.
     Of the links found, a spanning forest is returned: at most one per fingerprint.
     """
     everything = values if other is None else np.concatenate([values, other])
     if len(everything) < 2:
         return everything[:0], everything[:0]
-    counts = np.bitwise_count(everything).astype(np.int16)
+    words = everything.reshape(len(everything), -1)
+    counts = np.bitwise_count(words).sum(axis=1, dtype=np.int16)
     label = np.arange(len(everything))
     left = np.argsort(counts[:len(values)], kind="stable")
     right = left if other is None else np.argsort(counts[len(values):], kind="stable") + len(values)
@@ -98,8 +109,7 @@ def tile_links(values: np.ndarray, radius: int, other: np.ndarray | None = None)
             low = max(low, at)
         high = np.searchsorted(right_counts, counts[rows[-1]] + radius, "right")
         columns = right[low:high]
-        near = np.bitwise_count(everything[rows][:, None] ^ everything[columns][None, :]) <= radius
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(apart(words[rows], words[columns]) <= radius)
         merge(label, rows[i], columns[j])
     moved = label != np.arange(len(everything))
     return everything[moved], everything[label[moved]]
@@ -134,6 +144,15 @@ def near_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     places = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key"))
                                  for t, mask in enumerate(masks)]))
     entries = values.select("fp", F.bit_count("fp").alias("p"), places.alias("place")).select("place.*", "fp", "p")
+    return bucket_links(entries, radius, tile)
+
+
+def bucket_links(entries: DataFrame, radius: int, tile: int = TILE, words: int = 1) -> DataFrame:
+    """``a, b``: links that connect all fingerprints that share a bucket ``t, key`` and are within the radius.
+
+    One row per bucket and fingerprint ``fp``: a long, or as bytes where it has several 64-bit words.
+    Large buckets are cut by ``p``, which differs by no more than the bits do, and by hash.
+    """
     classes = entries.groupBy("t", "key", "p").agg(F.count(F.lit(1)).alias("n"))
     large = classes.groupBy("t", "key").agg(F.sum("n").alias("n"), F.collect_list(F.struct(
         "p", F.ceil(F.col("n") / tile).cast("int").alias("k"))).alias("tiles")).filter(F.col("n") > tile).drop("n")
@@ -151,7 +170,7 @@ def near_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     dealt = pieces.repartition("t", "key", "low", "high").sortWithinPartitions("t", "key", "low", "high")
 
     def compare(group: np.ndarray, low: int, high: int):
-        fps = group["fp"].view(np.uint64)
+        fps = group["fp"]
         if low == high:
             return tile_links(fps, radius)
         left = group["mine"] == low
@@ -159,7 +178,15 @@ def near_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
 
     def run(batches):
         names, held = ["t", "key", "low", "high", "mine", "fp"], None
-        fields = np.dtype([(name, np.int64) for name in names])
+        fields = np.dtype([(name, np.int64) for name in names[:5]] + [("fp", np.uint64, (words,) if words > 1 else ())])
+
+        def read(column):
+            if words == 1:
+                return column.to_numpy(zero_copy_only=False).view(np.uint64)
+            return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words)
+
+        def write(fps):
+            return pa.array(fps.view(np.int64)) if words == 1 else pa.array([fp.tobytes() for fp in fps], pa.binary())
 
         def found(rows):
             keys = np.stack([rows[n] for n in names[:4]])
@@ -171,12 +198,13 @@ def near_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
         def links(parts):
             a = np.concatenate([x for x, _ in parts]) if parts else np.empty(0, np.uint64)
             b = np.concatenate([x for _, x in parts]) if parts else np.empty(0, np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([write(a), write(b)], ["a", "b"])
 
         for batch in batches:
             rows = np.empty(batch.num_rows, fields)
-            for name in names:
+            for name in names[:5]:
                 rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
+            rows["fp"] = read(batch.column("fp"))
             rows = rows if held is None else np.concatenate([held, rows])
             if not len(rows):
                 continue
@@ -190,7 +218,7 @@ def near_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
         if held is not None and len(held):
             yield links(list(found(held)))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long" if words == 1 else "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
